@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.session import stage
+from quernstone.session import maybe_broadcast, stage
 
 _TYPES = {"string": "STRING", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
 
@@ -28,9 +28,9 @@ def _type(v: Column) -> Column:
 
 
 def _explode(recs: DataFrame, *keep: str) -> DataFrame:
-    """Rows (keep..., key, value) of the records' fields."""
+    """Rows (keep..., pos, key, value) of the records' fields; nulls for an empty object."""
     recs.createOrReplaceTempView("_quern_records")
-    return recs.sparkSession.sql(f"SELECT {', '.join('r.' + c for c in keep)}, f.key AS key, f.value AS value FROM _quern_records r, LATERAL variant_explode(r.v) f")
+    return recs.sparkSession.sql(f"SELECT {', '.join('r.' + c for c in keep)}, f.pos AS pos, f.key AS key, f.value AS value FROM _quern_records r, LATERAL variant_explode_outer(r.v) f")
 
 
 def chain(lines: DataFrame) -> DataFrame:
@@ -40,14 +40,24 @@ def chain(lines: DataFrame) -> DataFrame:
     return files.withColumn("next_file", F.lead("log_file").over(w)).withColumn("first", F.row_number().over(w) == 1)
 
 
-def file_fields(recs: DataFrame) -> DataFrame:
+def cells(recs: DataFrame, id_field: str, sha_field: str) -> DataFrame:
+    """One narrow row per field of every record: log_file, field, type (null for null), a hash of
+    the value, two hashes of the record's id and digest (null where one of them is missing), and
+    whether it is the record's first; an empty object has one row without field."""
+    key = [F.try_variant_get("v", f"$.{x}", "string") for x in (id_field, sha_field)]
+    known = key[0].isNotNull() & key[1].isNotNull()
+    keyed = recs.select("log_file", "v", F.when(known, F.xxhash64(*key)).alias("k1"), F.when(known, F.xxhash64(key[1], F.lit(1), key[0])).alias("k2"))
+    parts = _explode(keyed, "log_file", "k1", "k2")
+    return parts.select("log_file", "k1", "k2", (F.coalesce("pos", F.lit(0)) == 0).alias("first"), F.col("key").alias("field"), _type(F.col("value")).alias("type"), F.xxhash64(F.to_json("value")).alias("h"))
+
+
+def file_fields(parts: DataFrame) -> DataFrame:
     """log_file, field, type: the fields that more than half of a file's records have, and the JSON
     type of more than half of their non-null values (null if none is)."""
-    parts = _explode(recs, "log_file").select("log_file", F.col("key").alias("field"), _type(F.col("value")).alias("type"))
-    seen = parts.groupBy("log_file", "field").agg(F.count("*").alias("n"), F.count("type").alias("valued"), *[F.count_if(F.col("type") == t).alias(f"_{t}") for t in _TYPES])
-    total = recs.groupBy("log_file").agg(F.count("*").alias("records"))
+    seen = parts.filter("field IS NOT NULL").groupBy("log_file", "field").agg(F.count("*").alias("n"), F.count("type").alias("valued"), *[F.count_if(F.col("type") == t).alias(f"_{t}") for t in _TYPES])
+    total = parts.filter("first").groupBy("log_file").agg(F.count("*").alias("records"))
     kind = F.coalesce(*[F.when(2 * F.col(f"_{t}") > F.col("valued"), t) for t in _TYPES])
-    return seen.join(total, "log_file").filter("2 * n > records").select("log_file", "field", kind.alias("type"))
+    return seen.join(total.hint("merge"), "log_file").filter("2 * n > records").select("log_file", "field", kind.alias("type"))
 
 
 def fingerprints(fields: DataFrame) -> DataFrame:
@@ -73,8 +83,8 @@ def schema_changes(lines: DataFrame, *, id_field: str = "id", sha_field: str = "
     """
     lines = lines.select("run_dir", "log_name", "log_file", "file_seq", "line")
     files = stage(chain(lines))
-    recs = records(lines)
-    fields = stage(file_fields(recs))
+    parts = stage(cells(records(lines), id_field, sha_field))
+    fields = stage(file_fields(parts))
     prints = fingerprints(fields)
     link = files.filter("next_file IS NOT NULL").select("log_file", "next_file")
     before = prints.select(F.col("log_file"), F.col("fingerprint").alias("_old"))
@@ -91,8 +101,7 @@ def schema_changes(lines: DataFrame, *, id_field: str = "id", sha_field: str = "
     wanted = both.filter("_had IS NULL OR _has IS NULL").select("log_file", "field", F.col("_has").isNotNull().alias("_comes")).join(mixed, "log_file")
     wanted = wanted.groupBy("log_file").agg(F.collect_set(F.when(F.col("_comes"), F.col("field"))).alias("_come"), F.collect_set(F.when(~F.col("_comes"), F.col("field"))).alias("_gone"))
 
-    renames = _renames(recs, link, wanted, id_field, sha_field)
-    renames = stage(renames)
+    renames = stage(_renames(parts, link, wanted, id_field))
     out = [
         kept,
         renames.select("log_file", F.lit("renamed").alias("change_kind"), "field", "new_field"),
@@ -102,18 +111,15 @@ def schema_changes(lines: DataFrame, *, id_field: str = "id", sha_field: str = "
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-def _renames(recs: DataFrame, link: DataFrame, wanted: DataFrame, id_field: str, sha_field: str) -> DataFrame:
-    key = F.struct(*[F.try_variant_get("v", f"$.{x}", "string").alias(x) for x in (id_field, sha_field)])
-    keyed = recs.select("log_file", "v", key.alias("_k")).filter(f"_k.{id_field} IS NOT NULL AND _k.{sha_field} IS NOT NULL")
-    keyed = keyed.select("log_file", "v", F.xxhash64(f"_k.{id_field}", f"_k.{sha_field}").alias("_k1"), F.xxhash64(f"_k.{sha_field}", F.lit(1), f"_k.{id_field}").alias("_k2"))
-    old = keyed.join(link, "log_file").select(F.col("next_file").alias("log_file"), "v", "_k1", "_k2").join(wanted.select("log_file", F.col("_gone").alias("_fields")), "log_file").withColumn("_side", F.lit(0))
-    new = keyed.join(wanted.select("log_file", F.col("_come").alias("_fields")), "log_file").select("log_file", "v", "_k1", "_k2", "_fields").withColumn("_side", F.lit(1))
-    parts = _explode(old.select("log_file", "v", "_k1", "_k2", "_fields", "_side").unionByName(new), "log_file", "_k1", "_k2", "_fields", "_side", "v")
-    text = F.to_json("value")
-    cell = F.struct(F.col("key").alias("field"), F.xxhash64("_k1", text).alias("h1"), F.xxhash64(text, "_k2").alias("h2"))
-    # every record keeps a row for its side, so that a record without wanted fields is seen too
-    cell = F.when(F.array_contains("_fields", F.col("key")), cell)
-    shared = parts.groupBy("log_file", "_k1", "_k2").agg(F.max("_side").alias("_b"), F.min("_side").alias("_a"), F.collect_set(F.when(F.col("_side") == 0, cell)).alias("old"), F.collect_set(F.when(F.col("_side") == 1, cell)).alias("new"))
+def _renames(parts: DataFrame, link: DataFrame, wanted: DataFrame, id_field: str) -> DataFrame:
+    old = wanted.join(link.withColumnRenamed("log_file", "_file"), F.col("log_file") == F.col("next_file")).select("_file", F.col("log_file").alias("target"), F.lit(0).alias("side"), F.col("_gone").alias("fields"))
+    new = wanted.select(F.col("log_file").alias("_file"), F.col("log_file").alias("target"), F.lit(1).alias("side"), F.col("_come").alias("fields"))
+    need = maybe_broadcast(stage(old.unionByName(new)))
+    # a record's id stands for the record, so that one without wanted fields is seen too
+    is_wanted = F.array_contains("fields", F.col("field"))
+    rows = parts.filter("k1 IS NOT NULL").join(need, F.col("log_file") == F.col("_file")).filter(is_wanted | (F.col("field") == id_field))
+    cell = F.when(is_wanted, F.struct("field", F.xxhash64("k1", "h").alias("h1"), F.xxhash64("h", "k2").alias("h2")))
+    shared = rows.groupBy(F.col("target").alias("log_file"), "k1", "k2").agg(F.max("side").alias("_b"), F.min("side").alias("_a"), F.collect_set(F.when(F.col("side") == 0, cell)).alias("old"), F.collect_set(F.when(F.col("side") == 1, cell)).alias("new"))
     shared = stage(shared.filter("_a = 0 AND _b = 1").select("log_file", "old", "new"))
 
     def signed(side: str, name: str) -> DataFrame:
@@ -148,7 +154,7 @@ def unified(lines: DataFrame, changes: DataFrame) -> DataFrame:
     value = F.when(kind == "VOID", F.lit(None)).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json("value")).otherwise(text)
     taken = F.array_contains(F.map_values("names"), F.col("key")) & ~F.map_contains_key("names", F.col("key"))
     name = F.coalesce(F.element_at("names", F.col("key")), F.when(taken, F.concat(F.lit("?"), "key")).otherwise(F.col("key")))
-    cells = cells.select("log_file", "line_no", "version", F.struct(name.alias("k"), value.alias("v")).alias("cell"))
+    cells = cells.select("log_file", "line_no", "version", F.when(F.col("key").isNotNull(), F.struct(name.alias("k"), value.alias("v"))).alias("cell"))
     return cells.groupBy("log_file", "line_no", "version").agg(F.map_from_entries(F.array_sort(F.collect_set("cell"))).alias("fields"))
 
 

@@ -34,12 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, and the
-    data outlives any executor."""
+    data outlives any executor. Compressed file sizes say little about rows in memory, so the table
+    carries a merge hint: it is broadcast only where a caller has checked its size and says so."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def release(spark: SparkSession) -> None:
