@@ -98,5 +98,42 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(placed, placed.filter("depth = 0"))
 
 
+#: A DuckDB macro-free form of whole_number for the notations of the tables.
+def _number(c: str) -> str:
+    s = f"trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
+    bare = f"regexp_replace(regexp_replace({s}, '\\s*([bB][yY][tT][eE][sS]?|[bB])$', ''), '(^[+-]?[0-9]{{1,3}}(,[0-9]{{3}})+(\\.0*)?$)|(^[+-]?[0-9]{{1,3}}( [0-9]{{3}})+$)|(^[+-]?[0-9]+(_[0-9]+)+$)', '\\0')"
+    plain = f"CASE WHEN regexp_full_match({bare}, '[+-]?[0-9]{{1,3}}((,[0-9]{{3}})+|( [0-9]{{3}})+|(_[0-9]{{3}})+)') THEN regexp_replace({bare}, '[,_ ]', '', 'g') WHEN regexp_full_match({bare}, '[+-]?[0-9]+(\\.0*)?') THEN split_part({bare}, '.', 1) END"
+    return f"CASE WHEN regexp_full_match({s}, '0[xX][0-9a-fA-F]+') THEN ('0x' || {s}[3:])::BIGINT ELSE TRY_CAST({plain} AS BIGINT) END"
+
+
+_NAME = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
+_P1 = f"""WITH refs AS (SELECT 'phase9_tune' AS table_name, log_pos, strftime(logged_at, '%Y-%m') AS period, arrived_at AS at, 'm:' || {_NAME.format('parent')} AS key FROM phase9_tune
+UNION ALL SELECT 'tune53', log_pos, strftime(logged_at, '%Y-%m'), arrived_at, 't:' || coalesce({_NAME.format('parent')}, '') || ':' || coalesce({_NAME.format('corpus')}, '') || ':' || {_number('parent_tune')} FROM tune53),
+lives AS (SELECT 'm:' || {_NAME.format('method')} AS key, registered_at AS since, removed_at AS until FROM methods
+UNION ALL SELECT 't:' || coalesce({_NAME.format('method')}, '') || ':' || coalesce({_NAME.format('corpus')}, '') || ':' || {_number('tune')}, arrived_at, withdrawn_at FROM phase9_tune),
+j AS (SELECT r.table_name, r.log_pos, r.period, count(l.key) AS targets, count(*) FILTER (l.since <= r.at AND (l.until IS NULL OR r.at < l.until)) AS live, count(*) FILTER (l.since <= r.at) AS begun FROM refs r LEFT JOIN lives l ON l.key = r.key WHERE r.key IS NOT NULL GROUP BY r.table_name, r.log_pos, r.period),
+o AS (SELECT table_name, log_pos, period, CASE WHEN targets = 0 THEN 'missing' WHEN begun > 0 THEN 'deleted' ELSE 'late' END AS reason FROM j WHERE live = 0)
+"""
+_P5 = f"""WITH RECURSIVE last AS (SELECT id, arg_max(coalesce(parent, ''), log_pos) AS parent FROM phase6_receipts WHERE id IS NOT NULL GROUP BY id),
+r AS (SELECT id, CASE WHEN contains({_NAME.format('parent')}, '/') THEN {_NAME.format('parent')} WHEN {_NAME.format('parent')} IS NOT NULL THEN lower(split_part(id, '/', 1) || '/' || {_NAME.format('parent')} || '/' || split_part(id, '/', 3)) END AS ref FROM last),
+e AS (SELECT r.id, p.id AS parent FROM r LEFT JOIN last p ON {_NAME.format('p.id')} = r.ref),
+up AS (SELECT id AS root_id, id, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT up.root_id, e.id, up.depth + 1 FROM up JOIN e ON e.parent = up.id),
+lost AS (SELECT id, parent FROM e WHERE id NOT IN (SELECT id FROM up)),
+walk AS (SELECT id, parent AS at, 1 AS n FROM lost UNION ALL SELECT w.id, l.parent, n + 1 FROM walk w JOIN lost l ON l.id = w.at WHERE n < (SELECT count(*) FROM lost)),
+ring AS (SELECT DISTINCT id FROM walk WHERE id = at), least AS (SELECT id, min(at) AS least FROM walk WHERE id IN (SELECT id FROM ring) GROUP BY id),
+hit AS (SELECT w.id, arg_min(l.least, w.n) AS root_id FROM walk w JOIN least l ON l.id = w.at GROUP BY w.id)
+SELECT id, root_id, depth::INT AS depth FROM up UNION ALL SELECT id, root_id, -1 FROM hit"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": _P1 + "SELECT * FROM o",
+        "p1_counts": _P1 + "SELECT table_name, period, reason, count(*) AS n FROM o GROUP BY ALL",
+        "p2_found": f"""WITH t AS (SELECT corpus, log_pos, {_number('archive_bytes')} AS size, {_number('tune')} AS tune, row_number() OVER (PARTITION BY corpus, archive_sha256 ORDER BY log_pos) AS copy FROM phase9_tune WHERE trim(corpus) != '')
+SELECT corpus, (row_number() OVER (PARTITION BY corpus ORDER BY size, tune, log_pos))::INT AS place, log_pos FROM t WHERE copy = 1 AND size > 0 AND tune IS NOT NULL QUALIFY place <= 5""",
+        "p5_found": _P5,
+    }
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p3_found, p3_unified, p4_found, p5_found, p5_tree, p5_descendants)}
