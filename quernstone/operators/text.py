@@ -27,6 +27,14 @@ HOISTED = [
     "<page>", "</page>", "<title>", "</title>", "<text", "</text>", "<revision>", "</revision>", "<id>", "</id>", "<timestamp>", "</timestamp>", "<contributor>", "</contributor>", "<username>", "</username>",
     "<comment>", "</comment>", "<minor />", "&amp;", "&quot;", "&lt;", "&gt;", "&#", "{{", "}}", "[[", "]]", "http://", "https://", "</mediawiki>",
 ]
+#: Closed-class words; 1 determiners, 2 conjunctions and prepositions, 3 pronouns, 4
+#: auxiliaries.
+FUNCTION_WORDS = {
+    1: ["the", "a", "an", "this", "that", "these", "those", "its", "their", "his", "her", "our", "your", "my", "some", "any", "no", "every", "each", "all", "both", "such"],
+    2: ["and", "or", "but", "nor", "of", "to", "in", "on", "at", "for", "with", "by", "from", "as", "into", "over", "under", "about", "after", "before", "between", "during", "through", "against", "among", "up", "down", "out", "off", "than", "if", "because", "while", "when", "where"],
+    3: ["i", "he", "she", "it", "we", "they", "you", "me", "him", "us", "them", "who", "which", "whom", "whose"],
+    4: ["is", "are", "was", "were", "be", "been", "being", "am", "has", "have", "had", "do", "does", "did", "will", "would", "shall", "should", "can", "could", "may", "might", "must"],
+}
 KINDS = ["comment", "pi", "cdata", "close_tag", "empty_tag", "open_tag", "entity", "template", "link", "table", "url", "word", "number", "spaces", "newlines", "punct", "raw"]
 
 
@@ -98,6 +106,14 @@ def case_class(w: Column) -> Column:
     return F.when(w.rlike("^[a-z]+$"), 0).when(w.rlike("^[A-Z][a-z]*$"), 1).when(w.rlike("^[A-Z]+$"), 2).otherwise(3)
 
 
+def word_class(w: Column) -> Column:
+    """Class of a function word in any case, 0 for others."""
+    out = F.lit(0)
+    for k, ws in FUNCTION_WORDS.items():
+        out = F.when(F.lower(w).isin(ws), k).otherwise(out)
+    return out
+
+
 def model_stem(w: Column) -> Column:
     """Conservative stem of a lower-case word: the first rule that fits and leaves enough."""
     n, cut = F.length(w), lambda k: F.substring(w, F.lit(1), F.length(w) - k)

@@ -181,6 +181,14 @@ def stem_groups(d):
     return w.groupBy(tx.model_stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
+_CLASS = "CASE " + " ".join(f"WHEN lower(w) IN ({', '.join(repr(x) for x in ws)}) THEN {k}" for k, ws in tx.FUNCTION_WORDS.items()) + " ELSE 0 END"
+
+
+@_query(f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) SELECT doc_id, {_CLASS} AS word_class, count(*) AS n FROM w GROUP BY ALL")
+def function_words(d):
+    return tx.words(d).groupBy("doc_id", tx.word_class(F.col("word")).alias("word_class")).agg(F.count("*").alias("n"))
+
+
 _SUF = "coalesce(" + ", ".join(f"CASE WHEN length(w) >= {len(s) + 2} AND ends_with(w, '{s}') THEN '{s}' END" for s in sorted(tx.SUFFIXES, key=lambda s: -len(s))) + ")"
 
 

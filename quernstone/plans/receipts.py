@@ -119,9 +119,9 @@ r AS (SELECT id, CASE WHEN contains({_NAME.format('parent')}, '/') THEN {_NAME.f
 e AS (SELECT r.id, p.id AS parent FROM r LEFT JOIN last p ON {_NAME.format('p.id')} = r.ref),
 up AS (SELECT id AS root_id, id, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT up.root_id, e.id, up.depth + 1 FROM up JOIN e ON e.parent = up.id),
 lost AS (SELECT id, parent FROM e WHERE id NOT IN (SELECT id FROM up)),
-walk AS (SELECT id, parent AS at, 1 AS n FROM lost UNION ALL SELECT w.id, l.parent, n + 1 FROM walk w JOIN lost l ON l.id = w.at WHERE n < (SELECT count(*) FROM lost)),
-ring AS (SELECT DISTINCT id FROM walk WHERE id = at), least AS (SELECT id, min(at) AS least FROM walk WHERE id IN (SELECT id FROM ring) GROUP BY id),
-hit AS (SELECT w.id, arg_min(l.least, w.n) AS root_id FROM walk w JOIN least l ON l.id = w.at GROUP BY w.id)
+walk AS (SELECT id, parent AS here, 1 AS n FROM lost UNION ALL SELECT w.id, l.parent, n + 1 FROM walk w JOIN lost l ON l.id = w.here WHERE n < (SELECT count(*) FROM lost)),
+ring AS (SELECT DISTINCT id FROM walk WHERE id = here), smallest AS (SELECT id, min(here) AS low FROM walk WHERE id IN (SELECT id FROM ring) GROUP BY id),
+hit AS (SELECT w.id, arg_min(l.low, w.n) AS root_id FROM walk w JOIN smallest l ON l.id = w.here GROUP BY w.id)
 SELECT id, root_id, depth::INT AS depth FROM up UNION ALL SELECT id, root_id, -1 FROM hit"""
 
 
