@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.session import BROADCAST_ROWS, HEAVY_SHARE, fits_broadcast, heavy_keys
 
-_FOREVER = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+_FOREVER = "9999-12-31 00:00:00"
 
 
 def lifetimes(targets: DataFrame) -> DataFrame:
@@ -16,11 +16,11 @@ def lifetimes(targets: DataFrame) -> DataFrame:
     spans that end before they begin, are none. Targets that never end shrink to one row per key
     by a map-side aggregate; ended ones are merged by key and month first, then by key."""
     t = targets.select("key", "since", "until").filter("key IS NOT NULL AND since IS NOT NULL AND (until IS NULL OR until > since)")
-    opened = t.filter("until IS NULL").groupBy("key").agg(F.min("since").alias("since")).withColumn("until", _FOREVER)
+    opened = t.filter("until IS NULL").groupBy("key").agg(F.min("since").alias("since")).withColumn("until", F.lit(_FOREVER).cast("timestamp_ntz"))
     ended = t.filter("until IS NOT NULL").groupBy("key", "since").agg(F.max("until").alias("until"))
     ended = _merge(ended.withColumn("bucket", F.trunc("since", "month")), ["key", "bucket"])
     spans = _merge(ended.select("key", "since", "until").unionByName(opened), ["key"])
-    return spans.withColumn("until", F.nullif("until", _FOREVER))
+    return spans.withColumn("until", F.nullif("until", F.lit(_FOREVER).cast("timestamp_ntz")))
 
 
 def _merge(spans: DataFrame, by: list[str]) -> DataFrame:
