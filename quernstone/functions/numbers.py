@@ -37,4 +37,5 @@ def whole_number(c: Column) -> Column:
         .when(bare.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]{1,2})?$"), bare)
     )
     number = plain.try_cast("decimal(38,12)")
-    return F.coalesce(value, F.when(number == F.floor(number), number).try_cast("bigint"))
+    written = F.coalesce(value, F.when(number == F.floor(number), number).try_cast("bigint"))
+    return F.when(c.rlike("^[0-9]{1,18}$"), c.try_cast("bigint")).otherwise(written)  # most are plain

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.session import BROADCAST_ROWS, HEAVY_SHARE, fits_broadcast, heavy_keys
+from quernstone.session import BROADCAST_ROWS, HEAVY_SHARE, fits_broadcast, heavy_keys, stage
 
 _FOREVER = "9999-12-31 00:00:00"
 
@@ -46,8 +46,8 @@ def find_orphans(refs: DataFrame, targets: DataFrame, *, heavy_share: float = HE
     A null key is no reference. A null `at` finds nothing live: `missing` without any target, else
     `late`. Repeated rows come out repeated; empty tables give no rows or `missing` ones.
     """
-    refs = refs.filter("key IS NOT NULL")
-    spans = lifetimes(targets)
+    refs = stage(refs.filter("key IS NOT NULL"))
+    spans = stage(lifetimes(targets))
     counts = refs.groupBy("key", "period").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
     heavy = heavy_keys(counts, "n", heavy_share, heavy_rows).select("key")
     if heavy.isEmpty():
