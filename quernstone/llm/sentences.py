@@ -259,9 +259,7 @@ def candidates(s: str) -> list[tuple[int, int, int, int, str]]:
                 if s[e + 1 : e + 2] != "»":
                     break
             e += 1
-        n = e
-        while n < size and s[n].isspace():
-            n += 1
+        n = _skip(s, e)
         done = e
         out.append((i, e, n, opened, kind))
     return out
