@@ -55,9 +55,9 @@ def splitmix64_int(x: int) -> int:
 
 
 def fnv1a(word: Column) -> Column:
-    """FNV-1a of an ASCII word."""
-    step = lambda h, c: multiply(h.bitwiseXOR(F.ascii(c).cast("bigint")), 0x100000001B3)
-    return F.aggregate(F.split(word, ""), F.lit(wrap(0xCBF29CE484222325)), step)
+    """FNV-1a of a text's UTF-8 bytes."""
+    step = lambda h, c: multiply(h.bitwiseXOR(F.conv(c, 16, 10).cast("bigint")), 0x100000001B3)
+    return F.aggregate(F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit(".."), F.lit(0)), F.lit(wrap(0xCBF29CE484222325)), step)
 
 
 def fnv1a_int(word: str) -> int:

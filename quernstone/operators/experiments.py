@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.hashing import splitmix64_int
+
 #: Learning rates of the low half of a tune.
 MIXER_RATES = [12, 4, 6, 8, 10, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256]
 #: Adaptation rates of the experts of the accepted configuration.
@@ -99,3 +101,29 @@ def human_bytes(b: Column) -> Column:
     for unit, size in (("KiB", 1 << 10), ("MiB", 1 << 20), ("GiB", 1 << 30)):
         out = F.when(b >= size, F.format_string(f"%.2f {unit}", b / F.lit(float(size)))).otherwise(out)
     return out
+
+
+def mutate(tune: int, seed: int, axes: int = 1) -> tuple[int, int]:
+    """A seeded step along one half of a tune (the low one, with two axes either), by 1, 1, 2 or 4
+    levels, wrapping at 16; and the next seed."""
+    s = splitmix64_int(seed)
+    shift = 4 * ((s >> 32) % axes)
+    by = (1, 1, 2, 4)[s >> 24 & 3] * (-1 if s & 1 else 1)
+    level = ((tune >> shift & 15) + by) % 16
+    return tune & ~(15 << shift) & 255 | level << shift, s
+
+
+def schedule(kind: str, tried: set[int], *, best: int = 0, seed: int = 1, budget: int = 16) -> list[int]:
+    """The next settings to try: `full` all 256, `coord` the 16 levels of the low half, `fuzz` a
+    seeded walk, `guided` steps from the best one; those already tried are left out."""
+    if kind in ("full", "coord"):
+        plan = list(range(256 if kind == "full" else 16))
+    else:
+        plan, now = [], best
+        for _ in range(8 * budget):
+            now, seed = mutate(now if kind == "fuzz" else best, seed)
+            if now not in plan:
+                plan.append(now)
+            if len(plan) == budget:
+                break
+    return [t for t in plan if t not in tried]

@@ -61,6 +61,7 @@ def order_keys(order: str) -> list[Column]:
         "template": [c("first_template"), c("title")],
         "category_set": [sets("categories"), c("title")],
         "full": [sets("categories"), sets("templates"), c("title")],
+        "full_novelty": [sets("categories"), sets("templates"), c("novelty"), c("title")],
         "shuffle": [F.sha2(c("pos").cast("string"), 256)],
     }
     return [*keys[order], c("pos")]
@@ -95,14 +96,51 @@ def signatures(documents: DataFrame, k: int = 8) -> DataFrame:
     """doc_id and k unsigned 64-bit minima (as signed numbers with the top bit flipped, so that
     they sort as unsigned) over the text's lower-case ASCII words; all largest without words."""
     w = documents.filter("text IS NOT NULL").select("doc_id", F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower)).alias("w"))
+    return _signatures(w, k)
+
+
+def _signatures(w: DataFrame, k: int) -> DataFrame:
     one = w.select("doc_id", F.explode_outer("w").alias("word"))
-    with hashing.wrapping(documents.sparkSession):
+    with hashing.wrapping(w.sparkSession):
         hashed = one.select("doc_id", hashing.fnv1a(F.col("word")).alias("h"))
         mixed = [F.min(hashing.unsigned_order(hashing.splitmix64(F.col("h").bitwiseXOR(F.lit(hashing.wrap(i * hashing.GOLDEN)))))).alias(f"s{i}") for i in range(k)]
         sig = hashed.groupBy("doc_id").agg(*mixed)
     return sig.select("doc_id", F.array(*[F.coalesce(f"s{i}", F.lit((1 << 63) - 1)) for i in range(k)]).alias("sig"))
 
 
+BOILERPLATE = r"(?i)\{\{([^|}\n]+)|\[\[((?:category|file|image):[^|\]\n]*)"
+
+
+def boilerplate_signatures(documents: DataFrame, k: int = 8) -> DataFrame:
+    """Signatures over the names of templates, categories, files and images instead of words."""
+    hits = F.concat(F.regexp_extract_all("text", F.lit(BOILERPLATE), F.lit(1)), F.regexp_extract_all("text", F.lit(BOILERPLATE), F.lit(2)))
+    named = documents.filter("text IS NOT NULL").select("doc_id", F.array_distinct(F.transform(F.filter(hits, lambda x: x != ""), lambda x: F.lower(x))).alias("w"))
+    return _signatures(named, k)
+
+
+def split_stream(documents: DataFrame) -> DataFrame:
+    """doc_id, header, pages, tail of every text with pages, and whether they tile the text: what
+    lies between two pages belongs to the second."""
+    p = documents.filter(F.col("text").contains("<page>")).select("doc_id", "text")
+    head = F.substring_index("text", "<page>", 1)
+    inner = F.expr("substring(text, length(substring_index(text, '<page>', 1)) + 1)")
+    s = p.withColumns({"header": head, "pages": F.regexp_extract_all(inner, F.lit(r"([\s\S]*?</page>)"), F.lit(1))})
+    used = F.length("header") + F.aggregate("pages", F.lit(0), lambda a, x: a + F.length(x))
+    s = s.withColumn("used", used).withColumn("tail", F.expr("substring(text, used + 1)"))
+    whole = F.concat("header", F.array_join("pages", ""), "tail") == F.col("text")
+    return s.select("doc_id", "header", "pages", "tail", (whole & (F.size("pages") > 0)).alias("tiles"))
+
+
+def write_ordered(pages_: DataFrame, order: str, path: str) -> None:
+    """Write pages with their places in an order, after checking that sorting by page id restores
+    the original order; refuses if it doesn't."""
+    restored = rank_all(pages_.select("pos", F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("k")), ["k", "pos"]).select("pos", F.col("place").alias("back"))
+    original = rank_all(pages_.select("pos"), ["pos"]).select("pos", F.col("place").alias("was"))
+    if not restored.join(original, "pos").filter("back != was").isEmpty():
+        raise ValueError("page ids do not ascend: the order could not be undone")
+    pages_.join(ordered(pages_, order), "pos").repartitionByRange("place").sortWithinPartitions("place").write.parquet(path)
+
+
 def signature_distance(a: Column, b: Column) -> Column:
     """Hamming distance of two signatures."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

@@ -28,6 +28,33 @@ def entropy(counts: DataFrame) -> DataFrame:
     return of.agg(F.count("*").alias("contexts"), F.sum("k").alias("pairs"), F.sum("t").alias("total"), F.round(bits, 2).alias("bits"))
 
 
+def escapes(counts: DataFrame) -> DataFrame:
+    """ctx, total, symbols, escape: of each context the probability of a new symbol by the number of
+    distinct ones against all uses."""
+    of = counts.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("symbols"))
+    return of.withColumn("escape", F.col("symbols") / (F.col("symbols") + F.col("total")))
+
+
+def indirect(documents: DataFrame, order: int = 2) -> DataFrame:
+    """ctx, last, sym, n: how often a symbol follows when the context's two latest symbols were
+    `last` (within a text)."""
+    c = tx.texts(documents).filter("text != ''").select("doc_id", F.split("text", "").alias("c"))
+    before = lambda i: F.array_join(F.slice("c", i - order + 1, order), "")
+    each = F.transform(F.sequence(F.lit(order), F.size("c") - 1), lambda i: F.struct(i.alias("pos"), before(i).alias("ctx"), F.get("c", i).alias("sym")))
+    e = c.filter(F.size("c") > order).select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.*")
+    w = Window.partitionBy("doc_id", "ctx").orderBy("pos")
+    last = F.concat(F.coalesce(F.lag("sym", 2).over(w), F.lit("")), F.coalesce(F.lag("sym", 1).over(w), F.lit("")))
+    return e.withColumn("last", last).groupBy("ctx", "last", "sym").agg(F.count("*").alias("n"))
+
+
+def word_positions(documents: DataFrame) -> DataFrame:
+    """doc_id, pos, word, before: words of letters and apostrophes in lower case, with the word
+    before each."""
+    t = tx.texts(documents).select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z']+"), F.lit(0)), F.lower).alias("w"))
+    each = F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("word"), F.coalesce(F.get("w", F.when(i > 0, i - 1)), F.lit("")).alias("before")))
+    return t.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.pos", "e.word", "e.before")
+
+
 def novelty(documents: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, novelty: the number of distinct (context, symbol) events of each text."""
     c = tx.texts(documents).select("doc_id", F.split("text", "").alias("c"), "text")

@@ -62,6 +62,32 @@ def baseline_sizes(spark, d):
     return r.groupBy("compressor").agg(F.count("*").alias("texts"), F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
 
 
+@_query()
+def transform_delta(spark, d):
+    """What each transform changes in the size of a general-purpose code of every text."""
+    import zlib
+
+    def run(data: bytes) -> list[tuple]:
+        plain = len(zlib.compress(data, 9))
+        return [(n, plain, len(zlib.compress(codecs.TRANSFORMS[n][0](data), 9))) for n in ("hoist", "case", "case_mark", "token", "token_reverse", "stem")]
+
+    r = udfs.per_text(table(spark, d, "documents"), run, "transform string, plain bigint, coded bigint")
+    return r.groupBy("transform").agg(F.sum("plain").alias("plain"), F.sum("coded").alias("coded"), (F.sum("coded") - F.sum("plain")).alias("delta"))
+
+
+@_query()
+def blocked_words(spark, d):
+    """Words whose price doesn't pay stay in the vocabulary but aren't used: sizes and round trip."""
+
+    def run(data: bytes) -> list[tuple]:
+        vocab_ = codecs.vocabulary(codecs._words_of(data))
+        code = codecs.tokenize(data, vocab_, blocked=vocab_[1::2])
+        return [(len(vocab_), len(data), len(code), codecs.untokenize(code) == data)]
+
+    r = udfs.per_text(table(spark, d, "documents"), run, "entries int, n_in bigint, n_out bigint, exact boolean")
+    return r.groupBy("exact").agg(F.count("*").alias("texts"), F.sum("entries").alias("entries"), F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+
+
 @_query()
 def segment_kinds(spark, d):
     """Tokens and characters by kind, with balanced templates, links and tables as one token each."""

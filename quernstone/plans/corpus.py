@@ -317,6 +317,65 @@ def restore_order(d):
     return layout.rank_all(p, ["k", "pos"]).select("pos", "place")
 
 
+@_query(r"""WITH p AS (SELECT doc_id, text, split_part(text, '<page>', 1) AS header FROM documents WHERE contains(text, '<page>')), s AS (SELECT doc_id, text, header, regexp_extract_all(text[length(header) + 1:], '([\s\S]*?</page>)', 1) AS pages FROM p),
+u AS (SELECT *, length(header) + coalesce(list_sum([length(x) for x in pages]), 0) AS used FROM s) SELECT doc_id, length(header) AS header, len(pages) AS pages, (length(text) - used)::BIGINT AS tail, header || array_to_string(pages, '') || text[(used + 1)::BIGINT:] = text AND len(pages) > 0 AS tiles FROM u""")
+def page_tiling(d):
+    """Header, pages and tail of every dump text, and whether they tile it."""
+    s = layout.split_stream(d)
+    return s.select("doc_id", F.length("header").alias("header"), F.size("pages").alias("pages"), F.length("tail").cast("bigint").alias("tail"), "tiles")
+
+
+def _escape_sql(order: int) -> str:
+    head = _entropy_sql(order).split(", o AS")[0]
+    return head + " SELECT count(*) AS contexts, round(sum(s * 1.0 / (s + t)) / count(*), 6) AS mean_escape, count(*) FILTER (s = 1) AS settled FROM (SELECT ctx, sum(n) AS t, count(*) AS s FROM p GROUP BY ctx)"
+
+
+@_query(_escape_sql(2))
+def ppm_escapes(d):
+    """Contexts of two characters: the mean probability of a new symbol, and those with one symbol."""
+    e = seqstats.escapes(seqstats.context_counts(d, 2))
+    return e.agg(F.count("*").alias("contexts"), F.round(F.sum("escape") / F.count("*"), 6).alias("mean_escape"), F.count_if(F.col("symbols") == 1).alias("settled"))
+
+
+@_query("""WITH c AS (SELECT doc_id, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE length(text) > 2)), e AS (SELECT doc_id, i, l[i - 2] || l[i - 1] AS ctx, l[i] AS sym FROM c WHERE i > 2),
+h AS (SELECT ctx, sym, coalesce(lag(sym, 2) OVER w, '') || coalesce(lag(sym) OVER w, '') AS last FROM e WINDOW w AS (PARTITION BY doc_id, ctx ORDER BY i)) SELECT last, count(*) AS n, count(DISTINCT ctx) AS contexts FROM h GROUP BY last""")
+def indirect_history(d):
+    """Symbols by the two that last followed their context."""
+    return seqstats.indirect(d).groupBy("last").agg(F.sum("n").alias("n"), F.countDistinct("ctx").alias("contexts"))
+
+
+@_query("""WITH w AS (SELECT doc_id, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z'']+')] AS l FROM documents WHERE text IS NOT NULL))
+SELECT coalesce(l[CASE WHEN i > 1 THEN i - 1 END], '') AS before, l[i] AS word, count(*) AS n FROM w GROUP BY ALL""")
+def word_bigrams(d):
+    return seqstats.word_positions(d).groupBy("before", "word").agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT name, count(DISTINCT sha256(text)) = 1 AS one_digest, count(*) AS n FROM (SELECT 'blank' AS name, text FROM documents WHERE text = '' UNION ALL SELECT 'text', '' FROM documents WHERE text != '') GROUP BY name""")
+def pinned_digest(d):
+    """Digest verification against a pinned value: empty texts have the known digest of no bytes."""
+    pinned = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    t = tx.texts(d).select(F.when(F.col("text") == "", "blank").otherwise("text").alias("name"), F.sha2("text", 256).alias("h"))
+    return t.groupBy("name").agg(F.bool_and(F.when(F.col("name") == "blank", F.col("h") == pinned).otherwise(True)).alias("one_digest"), F.count("*").alias("n"))
+
+
+_SQL["page_order_full_novelty"] = _PAGES[: _PAGES.rindex("FROM documents")] + """, text FROM documents WHERE contains(text, '<page>')), c AS (SELECT pos, generate_subscripts(l, 1) AS i, l FROM (SELECT pos, string_split(text, '') AS l FROM p)),
+v AS (SELECT pos, count(DISTINCT coalesce(l[CASE WHEN i > 2 THEN i - 2 END], '') || coalesce(l[CASE WHEN i > 1 THEN i - 1 END], '') || chr(9) || l[i]) AS novelty FROM c GROUP BY pos)
+""" + f"SELECT pos, row_number() OVER (ORDER BY {_SET.format('cats')}, {_SET.format('temps')}, novelty, title, pos) - 1 AS place FROM p JOIN v USING (pos)"
+
+
+@_query(_SQL["page_order_full_novelty"])
+def page_order_full_novelty(d):
+    """The full order with the novelty of each page before its title."""
+    p = layout.pages(d).join(seqstats.novelty(d.filter(F.col("text").contains("<page>"))).withColumnRenamed("doc_id", "pos"), "pos")
+    return layout.ordered(p, "full_novelty")
+
+
+@_query()
+def boilerplate_order(d):
+    """Places by signatures of the markup names that a page uses."""
+    return layout.rank_all(layout.boilerplate_signatures(d), ["sig", "doc_id"]).select("doc_id", "place")
+
+
 @_query()
 def minhash_order(d):
     """Places by exact 64-bit signatures."""

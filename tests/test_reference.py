@@ -122,3 +122,51 @@ def test_mlp_against_numpy(spark):
     z = np.clip((np.array(w1) @ np.array(f) + b1) >> 8, -127, 127)
     want = int(np.clip((int(z @ np.array(w2)) + 4) >> 8, -1024, 1024))
     assert spark.createDataFrame([(f,)], "f array<int>").select(seqstats.mlp_forward(F.col("f"), w1, b1, w2, 4)).first()[0] == want
+
+
+def test_mutation_is_seeded_and_wraps():
+    from quernstone.operators import experiments as ex
+
+    now, seed, seen = 51, 1, set()
+    for _ in range(200):
+        step, seed = ex.mutate(now, seed)
+        assert step >> 4 == now >> 4 and 0 <= step < 256 and step != now  # one axis: the low half
+        seen.add(step)
+        now = step
+    assert len(seen) == 16 and ex.mutate(51, 1) == ex.mutate(51, 1)
+    assert any(ex.mutate(51, s, axes=2)[0] >> 4 != 3 for s in range(20))
+    assert ex.schedule("coord", {1, 2}) == [0, *range(3, 16)] and len(ex.schedule("full", set())) == 256
+    assert len(ex.schedule("fuzz", set(), budget=5)) == 5 and 51 not in ex.schedule("guided", {51}, best=51)
+
+
+def test_write_ordered_refuses_what_it_cannot_undo(spark, tmp_path):
+    page = lambda i, t: f"<page><title>{t}</title><id>{i}</id></page>"
+    good = spark.createDataFrame([(1, page(1, "b")), (2, page(5, "a")), (3, "x")], "doc_id bigint, text string")
+    layout.write_ordered(layout.pages(good), "title", str(tmp_path / "o"))
+    assert [r.pos for r in spark.read.parquet(str(tmp_path / "o")).orderBy("place").collect()] == [2, 1]
+    bad = spark.createDataFrame([(1, page(9, "b")), (2, page(3, "a"))], "doc_id bigint, text string")
+    with pytest.raises(ValueError):
+        layout.write_ordered(layout.pages(bad), "title", str(tmp_path / "p"))
+
+
+def test_page_split_tiles(spark):
+    texts = ["h<page>a</page> <page>b</page>t", "<page>a</page>", "<page>open", "none"]
+    s = {r.doc_id: r for r in layout.split_stream(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert (s[0].header, s[0].pages, s[0].tail, s[0].tiles) == ("h", ["<page>a</page>", " <page>b</page>"], "t", True)
+    assert s[1].tiles and not s[2].tiles and 3 not in s
+
+
+def test_boilerplate(spark):
+    docs = spark.createDataFrame([(1, "{{A|x}} [[Category:B]] one"), (2, "[[category:b]] {{a}} two"), (3, "x")], "doc_id bigint, text string")
+    sig = {r.doc_id: r.sig for r in layout.boilerplate_signatures(docs).collect()}
+    assert sig[1] == sig[2] != sig[3] == [(1 << 63) - 1] * 8
+
+
+def test_streams_match_batch(spark, tmp_path):
+    from quernstone.streaming import receipts as st
+
+    base = spark.read.parquet(f"{DATA}/phase9_tune.parquet")
+    for k in range(3):  # three files, the last repeating the first
+        base.filter(F.col("log_pos") % 2 == k % 2).coalesce(1).write.mode("append").parquet(str(tmp_path / "phase9_tune.parquet"))
+    got = st.drain(st.first_receipts(st.read_table(spark, str(tmp_path), "phase9_tune").select("id", "archive_sha256", "arrived_at")))
+    assert got.count() == base.select("id", "archive_sha256").distinct().count()
