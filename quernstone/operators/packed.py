@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from quernstone.functions.numbers import stripped
 from quernstone.session import stage
 
+#: Longest skeleton whose rule is broadcast; with the row limit it bounds the broadcast's size.
+SHORT = 500
+
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 _RULE = "field string, skeleton string, n bigint, slots array<struct<place: int, parts: array<int>>>"
 
@@ -112,8 +115,9 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str], *, broadcast_r
     quotes as one. place counts from 0; empty values take a place without a row.
 
     Each text is masked to a skeleton; the splitting rule is found once per distinct skeleton, in
-    parallel, and applied to the rows by token positions. Rules are broadcast, the most frequent
-    `broadcast_rules` of them if there are more; the rest, rare by then, is joined by shuffle.
+    parallel, and applied to the rows by token positions. Rules of skeletons up to SHORT marks are
+    broadcast, the most frequent `broadcast_rules` of them if there are more; the rest, rare by
+    then, and longer ones are joined by shuffle.
 
     Null, empty and blank texts and single values give no rows. A quote that never closes is an
     ordinary mark. Repeated rows come out repeated. Texts of any length are split whole.
@@ -127,10 +131,12 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str], *, broadcast_r
     found = rows.groupBy("field", "skeleton").agg(F.count("*").alias("n"))
     rules = stage(found.mapInPandas(_resolve, _RULE)).filter(F.size("slots") > 0)
     on = ["field", "skeleton"]
-    if rules.count() <= broadcast_rules:
+    short = F.length("skeleton") <= SHORT
+    count = rules.agg(F.count("*").alias("n"), F.count_if(short).alias("short")).first()
+    if count.n == count.short <= broadcast_rules:
         hit = rows.join(F.broadcast(rules), on)
     else:
-        top = F.broadcast(rules.orderBy(F.desc("n"), *on).limit(broadcast_rules))
+        top = F.broadcast(rules.filter(short).orderBy(F.desc("n"), *on).limit(broadcast_rules))
         rare = rules.join(top.select(*on), on, "left_anti")
         hit = rows.join(top, on).unionByName(rows.join(top.select(*on), on, "left_anti").join(rare, on))
     slot = hit.select("key", "field", "tokens", F.explode("slots").alias("slot"))
