@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
 from quernstone.functions import codecs, markup, model
+from quernstone.session import spread
 
 try:
     import zstandard
@@ -53,13 +54,6 @@ def register(spark: SparkSession) -> list[str]:
     return [*names, "archive", "unarchive", "segment"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df with at least as many partitions as cores, for kernels that take long per row; tables of
-    many partitions stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def per_text(documents: DataFrame, f: Callable[[bytes], list[tuple]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, *f(text)) of every non-null text, whole, through Arrow."""
     source = spread(documents.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text)))

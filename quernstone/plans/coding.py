@@ -13,6 +13,7 @@ from quernstone.operators import text as tx
 from quernstone.operators import vocab
 from quernstone.operators.experiments import MIXER_RATES
 from quernstone.plans.corpus import _VOCAB
+from quernstone.session import spread
 from quernstone.sources.tables import table
 
 _Q: dict = {}
@@ -139,7 +140,7 @@ def _grid(spark: SparkSession, rows: list[tuple], schema: str, f, out: str) -> D
 def model_roundtrip(spark, d):
     """Every row of the registry as an archive of its own: header, sizes, and whether it comes back."""
     t = table(spark, d, "methods").select("method_id", F.encode(F.concat_ws(" ", "method", "family", F.col("stage").cast("string")), "UTF-8").alias("data"))
-    t = udfs.spread(t).withColumn("code", udfs.bytes_udf(lambda x: model.archive(x, 86, 51))("data"))
+    t = spread(t).withColumn("code", udfs.bytes_udf(lambda x: model.archive(x, 86, 51))("data"))
     t = t.withColumn("back", udfs.bytes_udf(model.unarchive)("code"))
     return t.select("method_id", F.octet_length("data").alias("n_in"), F.octet_length("code").alias("n_out"), F.hex(F.substring("code", 1, 6)).alias("head"), (F.col("data") == F.col("back")).alias("exact"))
 

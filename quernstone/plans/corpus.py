@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import layout, seqstats, vocab
 from quernstone.operators import text as tx
+from quernstone.session import spread
 from quernstone.sources.tables import table
 
 _Q: dict = {}
@@ -15,7 +16,7 @@ _SQL: dict[str, str] = {}
 
 def _query(sql: str | None = None):
     def keep(f):
-        _Q[f.__name__] = lambda spark, d: f(table(spark, d, "documents"))
+        _Q[f.__name__] = lambda spark, d: f(spread(table(spark, d, "documents").select("doc_id", "text")))
         if sql:
             _SQL[f.__name__] = sql
         return f

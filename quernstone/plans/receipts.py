@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.numbers import name_key, whole_number
 from quernstone.operators import drift, hierarchy, orphans, packed, topn
-from quernstone.session import stage
+from quernstone.session import spread, stage
 from quernstone.sources.tables import table
 
 RATE_MARKS = ",;|/:"
@@ -52,7 +52,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of each log file's fields against the file before it."""
-    return drift.schema_changes(table(spark, sf_dir, "receipt_lines"))
+    return drift.schema_changes(spread(table(spark, sf_dir, "receipt_lines")))
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values packed in attribution and apm_rates, one per row."""
-    t = table(spark, sf_dir, "phase9_tune")
+    t = spread(table(spark, sf_dir, "phase9_tune").select("log_pos", "attribution", "apm_rates"))
     return packed.split_packed(t, "log_pos", {"attribution": TEXT_MARKS, "apm_rates": RATE_MARKS})
 
 

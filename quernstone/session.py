@@ -58,6 +58,13 @@ def _clean() -> None:
         shutil.rmtree(d, ignore_errors=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with at least as many partitions as cores, for work that takes long per row; tables of
+    many partitions, as all large ones are, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `limit` rows, counting no further than that."""
     return df.limit(limit + 1).count() <= limit
