@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import bpe, packing, sentences
+from quernstone.session import spread
 from quernstone.sources.tables import table
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.encode(_documents(spark, sf_dir))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or of each part of one that is larger than a container."""
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs)
+    return packing.pack_documents(_documents(spark, sf_dir))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +30,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document as offsets."""
-    return sentences.sentences(table(spark, sf_dir, "documents"))
+    return sentences.sentences(_documents(spark, sf_dir))
 
 
 def queries() -> dict:
