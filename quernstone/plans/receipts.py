@@ -125,13 +125,52 @@ hit AS (SELECT w.id, arg_min(l.low, w.n) AS root_id FROM walk w JOIN smallest l
 SELECT id, root_id, depth::INT AS depth FROM up UNION ALL SELECT id, root_id, -1 FROM hit"""
 
 
+_P3 = """WITH r AS MATERIALIZED (SELECT run_dir, log_name, log_file, file_seq, line_no, line FROM receipt_lines WHERE CASE WHEN json_valid(line) THEN json_type(line) END = 'OBJECT'),
+f AS (SELECT log_file, lag(log_file) OVER (PARTITION BY run_dir, log_name ORDER BY file_seq, log_file) AS before FROM (SELECT run_dir, log_name, log_file, min(file_seq) AS file_seq FROM receipt_lines GROUP BY ALL)),
+v AS MATERIALIZED (SELECT log_file, line_no, k, json_extract(line, '$."' || k || '"')::VARCHAR AS val, CASE json_type(line, '$."' || k || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS t,
+json_extract_string(line, '$.id') AS id, json_extract_string(line, '$.archive_sha256') AS sha FROM (SELECT log_file, line_no, line, unnest(json_keys(line)) AS k FROM r)),
+n AS (SELECT log_file, count(*) AS n FROM r GROUP BY log_file), g AS (SELECT log_file, k, count(*) AS c, count(t) AS valued FROM v GROUP BY ALL),
+ty AS (SELECT log_file, k, t FROM v JOIN g USING (log_file, k) WHERE t IS NOT NULL GROUP BY log_file, k, t HAVING 2 * count(*) > any_value(valued)),
+s AS (SELECT g.log_file, g.k, ty.t FROM g JOIN n USING (log_file) LEFT JOIN ty USING (log_file, k) WHERE 2 * c > n),
+o AS (SELECT f.log_file, s.k, s.t FROM f JOIN s ON s.log_file = f.before), w AS (SELECT f.log_file, s.k, s.t FROM f JOIN s USING (log_file) WHERE f.before IS NOT NULL),
+gone AS (SELECT log_file, k FROM o ANTI JOIN w USING (log_file, k)), come AS (SELECT log_file, k FROM w ANTI JOIN o USING (log_file, k)),
+sh AS (SELECT DISTINCT f.log_file, f.before, a.id, a.sha FROM f JOIN v a ON a.log_file = f.log_file JOIN v b ON b.log_file = f.before AND b.id = a.id AND b.sha = a.sha),
+gv AS (SELECT g.log_file, g.k, list_sort(list(DISTINCT sh.id || ' ' || sh.sha || ' ' || v.val)) AS l FROM gone g JOIN sh USING (log_file) JOIN v ON v.log_file = sh.before AND v.id = sh.id AND v.sha = sh.sha AND v.k = g.k GROUP BY ALL),
+cv AS (SELECT c.log_file, c.k, list_sort(list(DISTINCT sh.id || ' ' || sh.sha || ' ' || v.val)) AS l FROM come c JOIN sh USING (log_file) JOIN v ON v.log_file = sh.log_file AND v.id = sh.id AND v.sha = sh.sha AND v.k = c.k GROUP BY ALL),
+ren AS (SELECT x.log_file, x.k AS field, y.k AS new_field FROM (SELECT *, row_number() OVER (PARTITION BY log_file, l ORDER BY k) AS i FROM gv) x JOIN (SELECT *, row_number() OVER (PARTITION BY log_file, l ORDER BY k) AS i FROM cv) y USING (log_file, l, i))
+SELECT log_file, 'type_changed' AS change_kind, k AS field, k AS new_field FROM o JOIN w USING (log_file, k) WHERE o.t != w.t UNION ALL SELECT log_file, 'renamed', field, new_field FROM ren
+UNION ALL SELECT log_file, 'removed', k, '' FROM gone ANTI JOIN (SELECT log_file, field AS k FROM ren) USING (log_file, k) UNION ALL SELECT log_file, 'added', '', k FROM come ANTI JOIN (SELECT log_file, new_field AS k FROM ren) USING (log_file, k)"""
+
+
+#: The same splitting by matching quoted runs, delimiters and plain runs in turn.
+_QUOTED = "\"(?:[^\"]|\"\")*\"|''(?:[^'']|'''')*''"
+_CUT = {"attribution": r"\s*[,;|]\s*|\s+", "apm_rates": r"\s*[,;|/:]\s*|\s+"}
+_RUN = {"attribution": r"[^\s,;|\"'']+", "apm_rates": r"[^\s,;|/:\"'']+"}
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
+_PIECES = " ".join(f"WHEN '{f}' THEN regexp_extract_all(s, '{_QUOTED}|{_CUT[f]}|{_RUN[f]}')" for f in _CUT)
+_CUTS = " ".join(f"WHEN '{f}' THEN regexp_full_match(x, '{_CUT[f]}')" for f in _CUT)
+_P4 = f"""WITH t AS (SELECT log_pos, 'attribution' AS field, trim(attribution, {_WS}) AS s FROM phase9_tune UNION ALL SELECT log_pos, 'apm_rates', trim(apm_rates, {_WS}) FROM phase9_tune),
+b AS (SELECT log_pos, field, CASE WHEN s LIKE '[%]' OR s LIKE '(%)' THEN trim(substring(s, 2, length(s) - 2), {_WS}) ELSE s END AS s FROM t WHERE s IS NOT NULL),
+p AS (SELECT log_pos, field, CASE field {_PIECES} END AS l FROM b), e AS (SELECT log_pos, field, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM p),
+d AS (SELECT *, CASE field {_CUTS} END AS cut, CASE WHEN length(x) > 1 AND x[1] = chr(34) THEN replace(substring(x, 2, length(x) - 2), chr(34) || chr(34), chr(34))
+WHEN length(x) > 1 AND x[1] = chr(39) THEN replace(substring(x, 2, length(x) - 2), chr(39) || chr(39), chr(39)) ELSE x END AS y FROM e),
+q AS (SELECT *, sum(cut::INT) OVER (PARTITION BY log_pos, field ORDER BY i) AS place FROM d),
+v AS (SELECT log_pos, field, place, string_agg(y, '' ORDER BY i) FILTER (NOT cut) AS value FROM q GROUP BY ALL), m AS (SELECT log_pos, field, max(place) AS top FROM q GROUP BY ALL)
+SELECT log_pos, field, place::INT AS place, value FROM v JOIN m USING (log_pos, field) WHERE top > 0 AND value != ''"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT * FROM o",
         "p1_counts": _P1 + "SELECT table_name, period, reason, count(*) AS n FROM o GROUP BY ALL",
         "p2_found": f"""WITH t AS (SELECT corpus, log_pos, {_number('archive_bytes')} AS size, {_number('tune')} AS tune, row_number() OVER (PARTITION BY corpus, archive_sha256 ORDER BY log_pos) AS copy FROM phase9_tune WHERE trim(corpus) != '')
 SELECT corpus, (row_number() OVER (PARTITION BY corpus ORDER BY size, tune, log_pos))::INT AS place, log_pos FROM t WHERE copy = 1 AND size > 0 AND tune IS NOT NULL QUALIFY place <= 5""",
+        "p3_found": _P3,
+        "p4_found": _P4,
         "p5_found": _P5,
+        "p5_tree": _P5.replace("SELECT id AS root_id, id, 0 AS depth FROM", "SELECT id AS root_id, id, 0 AS depth, id AS path FROM").replace("up.depth + 1 FROM", "up.depth + 1, up.path || ' > ' || e.id FROM").split("SELECT id, root_id, depth::INT")[0]
+        + "SELECT id, root_id, depth::INT AS depth, (SELECT count(*) FROM up u WHERE starts_with(u.path, up.path || ' > ')) AS n_descendants, path FROM up UNION ALL SELECT id, root_id, -1, NULL, NULL FROM hit",
+        "p5_descendants": _P5.split("lost AS")[0].rstrip().rstrip(",") + " SELECT root_id AS ancestor_id, id, depth::INT AS steps FROM up WHERE depth > 0",
     }
 
 
