@@ -100,7 +100,7 @@ class ByteBpe:
         while at:
             out.append(last[at])
             at -= lengths[at]
-        if len(pairs) > 4 * CACHE_ENTRIES:
+        if len(pairs) > CACHE_ENTRIES:
             pairs.clear()
         return np.array(out[::-1], np.int32).tobytes()
 
