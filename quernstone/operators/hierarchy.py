@@ -134,5 +134,22 @@ def descendants(placed: DataFrame, of: DataFrame, *, width: int = 256) -> DataFr
     return hit.select("ancestor_id", "id", (F.col("depth") - F.col("_d")).alias("steps"))
 
 
+def descendants_on_cycles(placed: DataFrame) -> DataFrame:
+    """ancestor_id, id, steps for the nodes whose walk never ends: the other nodes on the walk of each, by
+    doubling. On a cycle every node descends from all others; steps is the shortest way."""
+    lost = placed.filter("depth < 0")
+    now, size = stage(lost.select("id", F.array("parent").alias("walk"))), 0
+    while True:  # a walk is whole once what follows repeats it
+        n = now.agg(F.sum(F.size("walk"))).first()[0] or 0
+        if n == size:
+            break
+        size = n
+        above = now.select(F.col("id").alias("_id"), F.col("walk").alias("_walk"))
+        step = now.join(above, F.element_at("walk", -1) == F.col("_id"))
+        now = stage(step.select("id", F.array_distinct(F.concat("walk", "_walk")).alias("walk")))
+    hit = now.select("id", F.posexplode("walk").alias("_place", "ancestor_id")).filter("ancestor_id != id")
+    return hit.select("ancestor_id", "id", (F.col("_place") + 1).alias("steps"))
+
+
 def _block(c: str, width: int) -> Column:
     return F.floor(F.col(c) / width)

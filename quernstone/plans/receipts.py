@@ -98,6 +98,12 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(placed, placed.filter("depth = 0"))
 
 
+def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every descendant of every candidate receipt, inner nodes and nodes on or under cycles included."""
+    placed = stage(hierarchy.hierarchy(links(spark, sf_dir)))
+    return hierarchy.descendants(placed, placed.select("id")).unionByName(hierarchy.descendants_on_cycles(placed))
+
+
 #: A DuckDB macro-free form of whole_number for the notations of the tables.
 def _number(c: str) -> str:
     s = f"trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
@@ -171,8 +177,11 @@ SELECT corpus, (row_number() OVER (PARTITION BY corpus ORDER BY size, tune, log_
         "p5_tree": _P5.replace("SELECT id AS root_id, id, 0 AS depth FROM", "SELECT id AS root_id, id, 0 AS depth, id AS path FROM").replace("up.depth + 1 FROM", "up.depth + 1, up.path || ' > ' || e.id FROM").split("SELECT id, root_id, depth::INT")[0]
         + "SELECT id, root_id, depth::INT AS depth, (SELECT count(*) FROM up u WHERE starts_with(u.path, up.path || ' > ')) AS n_descendants, path FROM up UNION ALL SELECT id, root_id, -1, NULL, NULL FROM hit",
         "p5_descendants": _P5.split("lost AS")[0].rstrip().rstrip(",") + " SELECT root_id AS ancestor_id, id, depth::INT AS steps FROM up WHERE depth > 0",
+        "p5_all_descendants": _P5.split("ring AS")[0].rstrip().rstrip(",") + """, pairs AS (SELECT parent AS ancestor_id, id, 1 AS steps FROM e WHERE parent IS NOT NULL AND id IN (SELECT id FROM up)
+UNION ALL SELECT e.parent, p.id, p.steps + 1 FROM pairs p JOIN e ON e.id = p.ancestor_id WHERE e.parent IS NOT NULL)
+SELECT ancestor_id, id, steps::INT AS steps FROM pairs UNION ALL SELECT here, id, min(n)::INT FROM walk WHERE here != id GROUP BY ALL""",
     }
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p3_found, p3_unified, p4_found, p5_found, p5_tree, p5_descendants)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p3_found, p3_unified, p4_found, p5_found, p5_tree, p5_descendants, p5_all_descendants)}
