@@ -56,10 +56,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All receipts of the raw logs in one consistent table, with the three drifting fields."""
+    """All receipts of the raw logs in one consistent table: every field under its canonical name in
+    `fields`, with the key and the three drifting fields as columns as well."""
     lines = table(spark, sf_dir, "receipt_lines")
     rows = drift.unified(lines, drift.schema_changes(lines))
-    return rows.select("log_file", "line_no", "version", *[F.col("fields")[k].alias(k) for k in ("id", "archive_sha256", "lr_idx", "bits_per_byte", "parent_source")], F.size("fields").alias("n_fields"))
+    return rows.select("log_file", "line_no", "version", *[F.col("fields")[k].alias(k) for k in ("id", "archive_sha256", "lr_idx", "bits_per_byte", "parent_source")], F.size("fields").alias("n_fields"), "fields")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +148,18 @@ ren AS (SELECT x.log_file, x.k AS field, y.k AS new_field FROM (SELECT *, row_nu
 SELECT log_file, 'type_changed' AS change_kind, k AS field, k AS new_field FROM o JOIN w USING (log_file, k) WHERE o.t != w.t UNION ALL SELECT log_file, 'renamed', field, new_field FROM ren
 UNION ALL SELECT log_file, 'removed', k, '' FROM gone ANTI JOIN (SELECT log_file, field AS k FROM ren) USING (log_file, k) UNION ALL SELECT log_file, 'added', '', k FROM come ANTI JOIN (SELECT log_file, new_field AS k FROM ren) USING (log_file, k)"""
 
+#: Every field is followed under the name that its series first gave it, from file to file.
+_P3U = (
+    _P3.replace("WITH r AS", "WITH RECURSIVE r AS", 1).replace("\nSELECT log_file, 'type_changed' AS change_kind", ",\nc AS MATERIALIZED (SELECT log_file, 'type_changed' AS change_kind", 1).replace("ren AS (SELECT x.log_file", "ren AS MATERIALIZED (SELECT x.log_file", 1)
+    + """),
+born AS (SELECT f.log_file, s.k AS name, s.k AS canon FROM f JOIN s USING (log_file) WHERE f.before IS NULL UNION ALL SELECT log_file, new_field, new_field FROM c WHERE change_kind = 'added'),
+named AS (SELECT * FROM born UNION ALL SELECT f.log_file, CASE WHEN c.change_kind = 'renamed' THEN c.new_field ELSE m.name END, m.canon FROM named m JOIN f ON f.before = m.log_file LEFT JOIN c ON c.log_file = f.log_file AND c.field = m.name AND c.change_kind IN ('renamed', 'removed') WHERE c.change_kind IS DISTINCT FROM 'removed'),
+moved AS (SELECT log_file, name, canon FROM named WHERE name != canon),
+ver AS (SELECT log_file, (1 + sum(log_file IN (SELECT log_file FROM c)) OVER (PARTITION BY run_dir, log_name ORDER BY file_seq, log_file))::INT AS version FROM (SELECT run_dir, log_name, log_file, min(file_seq) AS file_seq FROM receipt_lines GROUP BY ALL)),
+cell AS (SELECT v.log_file, v.line_no, coalesce(m.canon, CASE WHEN v.k IN (SELECT canon FROM moved x WHERE x.log_file = v.log_file) THEN '?' || v.k ELSE v.k END) AS name, CASE WHEN t IS NULL THEN NULL WHEN t = 'string' THEN json_extract_string(val, '$') ELSE val END AS value FROM v LEFT JOIN moved m ON m.log_file = v.log_file AND m.name = v.k),
+one AS (SELECT log_file, line_no, map_from_entries(list({'k': name, 'v': value} ORDER BY name)) AS fields FROM cell GROUP BY ALL)
+SELECT log_file, line_no, version, fields['id'] AS id, fields['archive_sha256'] AS archive_sha256, fields['lr_idx'] AS lr_idx, fields['bits_per_byte'] AS bits_per_byte, fields['parent_source'] AS parent_source, cardinality(fields)::INT AS n_fields, fields FROM one JOIN ver USING (log_file)"""
+)
 
 #: The same splitting by matching quoted runs, delimiters and plain runs in turn.
 _QUOTED = "\"(?:[^\"]|\"\")*\"|''(?:[^'']|'''')*''"
@@ -172,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""WITH t AS (SELECT corpus, log_pos, {_number('archive_bytes')} AS size, {_number('tune')} AS tune, row_number() OVER (PARTITION BY corpus, archive_sha256 ORDER BY log_pos) AS copy FROM phase9_tune WHERE trim(corpus) != '')
 SELECT corpus, (row_number() OVER (PARTITION BY corpus ORDER BY size, tune, log_pos))::INT AS place, log_pos FROM t WHERE copy = 1 AND size > 0 AND tune IS NOT NULL QUALIFY place <= 5""",
         "p3_found": _P3,
+        "p3_unified": _P3U,
         "p4_found": _P4,
         "p5_found": _P5,
         "p5_tree": _P5.replace("SELECT id AS root_id, id, 0 AS depth FROM", "SELECT id AS root_id, id, 0 AS depth, id AS path FROM").replace("up.depth + 1 FROM", "up.depth + 1, up.path || ' > ' || e.id FROM").split("SELECT id, root_id, depth::INT")[0]

@@ -36,3 +36,8 @@ def test_descendants_on_cycles(spark):
     got = {tuple(r) for r in hierarchy.descendants_on_cycles(placed).collect()}
     ring = {("y", "x", 1), ("z", "x", 2), ("z", "y", 1), ("x", "y", 2), ("x", "z", 1), ("y", "z", 2)}
     assert got == ring | {("x", "tail", 1), ("y", "tail", 2), ("z", "tail", 3), ("tail", "tail2", 1), ("x", "tail2", 2), ("y", "tail2", 3), ("z", "tail2", 4), ("self", "s2", 1)}
+
+
+def test_unified_has_every_field(spark):
+    fields = {k for r in same_as_sql(spark, "p3_unified") for k in r[-1]}
+    assert {"method", "tune", "corpus", "archive_bytes", "apm_rates", "parent"} <= fields
