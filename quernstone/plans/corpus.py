@@ -45,11 +45,22 @@ def corpus_receipts(d):
 SELECT rung, count(*) FILTER (upto <= rung) AS whole_docs, least(rung, max(upto))::BIGINT AS n_bytes FROM t, (VALUES (1000), (10000), (100000), (1000000)) AS r(rung) GROUP BY rung""")
 def corpus_ladder(d):
     """Documents within prefixes of the corpus in document order; offsets from sums by blocks of ids."""
+    return _ladder(d, (1000, 10000, 100000, 1000000))
+
+
+@_query("""WITH t AS (SELECT doc_id, strlen(text) AS n, sum(strlen(text)) OVER (ORDER BY doc_id) AS upto FROM documents WHERE text IS NOT NULL)
+SELECT rung, count(*) FILTER (upto <= rung) AS whole_docs, least(rung, max(upto))::BIGINT AS n_bytes FROM t, (VALUES (1000000), (10000000), (100000000), (1000000000)) AS r(rung) GROUP BY rung""")
+def corpus_ladder_full(d):
+    """The same for the rungs from 10^6 to 10^9 bytes."""
+    return _ladder(d, (10**6, 10**7, 10**8, 10**9))
+
+
+def _ladder(d: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     t = tx.texts(d).select("doc_id", F.octet_length("text").cast("bigint").alias("n"), F.floor(F.col("doc_id") / 4096).alias("block"))
     sums = t.groupBy("block").agg(F.sum("n").alias("b"))
     before = sums.select("block", F.coalesce(F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     upto = t.join(before, "block").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("block").orderBy("doc_id")))
-    rungs = F.explode(F.array(*[F.lit(x) for x in (1000, 10000, 100000, 1000000)])).alias("rung")
+    rungs = F.explode(F.array(*[F.lit(x) for x in sizes])).alias("rung")
     r = upto.select("upto", rungs).groupBy("rung").agg(F.count_if(F.col("upto") <= F.col("rung")).alias("whole_docs"), F.max("upto").alias("top"))
     return r.select("rung", "whole_docs", F.least("top", F.col("rung").cast("bigint")).alias("n_bytes"))
 

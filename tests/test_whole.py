@@ -41,3 +41,7 @@ def test_descendants_on_cycles(spark):
 def test_unified_has_every_field(spark):
     fields = {k for r in same_as_sql(spark, "p3_unified") for k in r[-1]}
     assert {"method", "tune", "corpus", "archive_bytes", "apm_rates", "parent"} <= fields
+
+
+def test_ladder_of_large_rungs(spark):
+    assert {10**k for k in range(6, 10)} <= {v for r in same_as_sql(spark, "corpus_ladder_full") for v in r}
