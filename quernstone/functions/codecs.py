@@ -6,6 +6,7 @@ fail on other input."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -577,39 +578,42 @@ def grammar_once(data: bytes, top: int = 256, least: int = 8) -> bytes:
 
 
 def factor(data: bytes, window: int = 256, longest: int = 64, least: int = 3) -> bytes:
-    """Repeats within a window as (distance, length) factors, the longest and nearest first."""
-    out, last, i = [], {}, 0
-    while i < len(data):
-        best, dist = 0, 0
-        key = data[i : i + least]
-        for j in reversed(last.get(key, [])) if len(key) == least else ():
-            if i - j > window:
-                break
-            n = least
-            while n < longest and i + n < len(data) and data[j + n] == data[i + n]:
-                n += 1
-            if n > best:
-                best, dist = n, i - j
-        step = best or 1
-        out.append(varint(best + 256) + varint(dist) if best else varint(data[i]))
-        for p in range(i, i + step):
-            last.setdefault(data[p : p + least], []).append(p)
-        i += step
-    return b"".join(out)
+    """LZ begin-end: a factor is a byte or a run of up to `longest` earlier factors that begins among the
+    last `window`; the longest in bytes, of equals the first. The number of factors, then for each 0 and
+    the byte, or 1, the first factor of the run and how many."""
+    begins, out, starts, p = [0], [], {}, 0  # begins: where each factor begins, and the place now
+    while p < len(data):
+        n, best, first, run = len(begins) - 1, least - 1, 0, 0
+        near = starts.get(data[p : p + least], [])
+        for s in near[bisect_left(near, n - window) :]:
+            m, at = s, p
+            while m < n and m - s < longest and data.startswith(data[begins[m] : begins[m + 1]], at):
+                at += begins[m + 1] - begins[m]
+                m += 1
+            if at - p > best:
+                best, first, run = at - p, s, m - s
+        out.append(b"\1" + varint(first) + varint(run) if run else bytes([0, data[p]]))
+        starts.setdefault(data[p : p + least], []).append(n)
+        p += best if run else 1
+        begins.append(p)
+    return varint(len(out)) + b"".join(out)
 
 
 def unfactor(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
-        s, at = read_varint(data, at)
-        if s < 256:
-            out.append(s)
-        else:
-            dist, at = read_varint(data, at)
-            for _ in range(min(s - 256, 1 << 16)):
-                if 0 < dist <= len(out):
-                    out.append(out[-dist])
-    return bytes(out)
+    n, at = read_varint(data, 0)
+    factors: list[bytes] = []
+    while at < len(data) and len(factors) < n:
+        tag, at = data[at], at + 1
+        if tag:
+            first, at = read_varint(data, at)
+            run, at = read_varint(data, at)
+            if first + run > len(factors):
+                break
+            factors.append(b"".join(factors[first : first + run]))
+        elif at < len(data):
+            factors.append(data[at : at + 1])
+            at += 1
+    return b"".join(factors)
 
 
 #: name -> (encode, decode)

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
+from quernstone.functions import codecs
 from quernstone.operators import hierarchy
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +46,11 @@ def test_unified_has_every_field(spark):
 
 def test_ladder_of_large_rungs(spark):
     assert {10**k for k in range(6, 10)} <= {v for r in same_as_sql(spark, "corpus_ladder_full") for v in r}
+
+
+def test_factor_copies_runs_of_factors():
+    # copies of 64 factors of a byte, then of factors that are copies themselves
+    line = bytes(range(64))
+    code = codecs.factor(line * 8)
+    assert code == codecs.varint(68) + b"".join(bytes([0, x]) for x in line) + b"\1\0\x40\1\0\x40\1\x40\x02\1\x41\x02"
+    assert codecs.unfactor(code) == line * 8
