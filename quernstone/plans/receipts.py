@@ -88,9 +88,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every candidate receipt."""
-    edges = stage(links(spark, sf_dir))
-    placed = stage(hierarchy.hierarchy(edges))
-    return placed.join(hierarchy.paths(edges, placed), "id").select("id", "root_id", "depth", (F.col("size") - 1).alias("n_descendants"), F.array_join("path", " > ").alias("path"))
+    placed = stage(hierarchy.hierarchy(links(spark, sf_dir)))
+    return placed.join(hierarchy.paths(placed), "id").select("id", "root_id", "depth", (F.col("size") - 1).alias("n_descendants"), F.array_join("path", " > ").alias("path"))
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A key is heavy when it holds more than this share of all rows: at most 1 / share keys are.
 HEAVY_SHARE = 1 / 500
+#: Rows that one task should at most hold of one key or range.
+TASK_ROWS = 1_000_000
 
 _local_dirs: list[str] = []
 _staged: list[tuple[SparkSession, str]] = []
@@ -43,6 +45,14 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
+def stage_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """stage(df), and aggregates over its rows (0 where null) that the writing tasks take along."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count("*").alias("rows"), *[c.alias(k) for k, c in counts.items()]))
+    got = seen.get
+    return out, {k: got.get(k) or 0 for k in ("rows", *counts)}
+
+
 def release(spark: SparkSession) -> None:
     """Delete the staged tables of this session; call it once results are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

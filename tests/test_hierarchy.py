@@ -38,21 +38,22 @@ def check(spark, edges, **kw):
         r = rows[i]
         assert r.size == len(js) and r.hi - r.lo + 1 == r.size
         assert {j for j, x in rows.items() if x.depth >= 0 and x.root_id == r.root_id and r.lo <= x.lo <= r.hi} == js
-    assert {r.id: r.path for r in hierarchy.paths(df, placed).collect()} == {i: w[2] for i, w in want.items()}
-    pairs = {(r.ancestor_id, r.id, r.steps) for r in hierarchy.descendants(placed, placed.select("id"), width=3).collect()}
+    assert {r.id: r.path for r in hierarchy.paths(placed).collect()} == {i: w[2] for i, w in want.items()}
+    pairs = {(r.ancestor_id, r.id, r.steps) for r in hierarchy.descendants(placed, placed.select("id"), bits=(1, 2)).collect()}
     assert pairs == {(i, j, want[j][1] - want[i][1]) for i, js in below.items() for j in js if i != j}
 
 
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_random(spark, limit):
     rnd = random.Random(4)
-    check(spark, [(f"n{i}", rnd.choice([None, "gone", *[f"n{rnd.randint(0, 39)}" for _ in range(12)]])) for i in range(40)], salts=2, broadcast_rows=limit)
+    check(spark, [(f"n{i}", rnd.choice([None, "gone", *[f"n{rnd.randint(0, 39)}" for _ in range(12)]])) for i in range(40)], task_rows=20, broadcast_rows=limit, width=8)
 
 
 def test_chain_family_and_cycles(spark):
     edges = [(f"c{i:02}", f"c{i - 1:02}" if i else None) for i in range(20)] + [(f"k{i}", "c03") for i in range(15)]
     edges += [("x", "y"), ("y", "z"), ("z", "x"), ("tail", "x"), ("tail2", "tail"), ("self", "self"), ("s2", "self"), ("p", "q"), ("q", "p")]
-    check(spark, edges, salts=4)
+    check(spark, edges, width=4)
+    check(spark, edges, task_rows=5, broadcast_rows=0)
 
 
 @pytest.mark.parametrize("edges", [[], [("a", None)], [(None, "a"), ("a", None), ("a", None), ("b", "a"), ("b", "a")]])
