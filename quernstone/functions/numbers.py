@@ -16,26 +16,39 @@ def name_key(c: Column) -> Column:
     return F.nullif(F.lower(stripped(c)), F.lit(""))
 
 
+_GAP = " \u00a0\u2009\u202f"
+_TICK = "'\u2019"
+#: Digits in groups: by commas, blanks or apostrophes of three, by underscores of any size.
+_GROUPED = rf"^[+-]?(?:[0-9]{{1,3}}(?:(?:,[0-9]{{3}})+|(?:[{_GAP}][0-9]{{3}})+|(?:[{_TICK}][0-9]{{3}})+)|[0-9]+(?:_[0-9]+)+)(?:\.0*)?$"
+
+
 def whole_number(c: Column) -> Column:
     """The whole number that a text evidently holds, as BIGINT, else null.
 
     Taken: a sign, digits in groups of three (comma, blank, no-break blank, apostrophe, two or more
     dots) or with underscores, a fraction of zeros, an exponent that leaves a whole number, `0x`
     for hexadecimal, a byte unit (B, byte, bytes). Null, empty text, other text, real fractions and
-    what exceeds 64 bits give null.
+    what exceeds 64 bits with sign give null.
     """
-    s = stripped(c)
-    hexa = F.regexp_extract(s, r"^[+-]?0[xX]([0-9a-fA-F]{1,15})$", 1)
-    value = F.conv(F.nullif(hexa, F.lit("")), 16, 10).try_cast("bigint")
-    value = F.when(s.startswith("-"), -value).otherwise(value)
-    bare = F.regexp_replace(s, r"(?iU)\s*(bytes?|b)$", "")
-    group = r"^[+-]?[0-9]{1,3}(?:(?:,[0-9]{3})+|(?:[ \u00a0\u2009\u202f][0-9]{3})+|(?:['\u2019][0-9]{3})+)(?:\.0*)?$"
+    # most are plain; the others are bound once by a lambda, which keeps the generated code short
+    return F.when(c.rlike("^[0-9]{1,18}$"), c.try_cast("bigint")).otherwise(F.transform(F.array(stripped(c)), _written)[0])
+
+
+def digits(c: Column) -> Column:
+    """Text of ASCII digits alone as BIGINT; null for other text and beyond 64 bits with sign."""
+    return F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
+
+
+def _written(s: Column) -> Column:
+    hexa = F.conv(F.regexp_extract(s, r"^[+-]?0[xX]0*([0-9a-fA-F]{1,16})$", 1), 16, 10).try_cast("decimal(38,0)")
+    return F.when(s.rlike(r"^[+-]?0[xX]"), F.when(s.startswith("-"), -hexa).otherwise(hexa).try_cast("bigint")).otherwise(F.transform(F.array(F.regexp_replace(s, r"(?iU)\s*(bytes?|b)$", "")), _decimal)[0])
+
+
+def _decimal(s: Column) -> Column:
     plain = (
-        F.when(bare.rlike(group), F.regexp_replace(bare, r"[,'\u2019 \u00a0\u2009\u202f]", ""))
-        .when(bare.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3}){2,}$"), F.replace(bare, F.lit(".")))
-        .when(bare.rlike(r"^[+-]?[0-9]+(_[0-9]+)+(\.0*)?$"), F.replace(bare, F.lit("_")))
-        .when(bare.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]{1,2})?$"), bare)
+        F.when(s.rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.substring_index(s, ".", 1))
+        .when(s.rlike(_GROUPED), F.substring_index(F.translate(s, f",_{_TICK}{_GAP}", ""), ".", 1))
+        .when(s.rlike(r"^[+-]?[0-9]{1,3}(\.[0-9]{3}){2,}$"), F.replace(s, F.lit(".")))
     )
-    number = plain.try_cast("decimal(38,12)")
-    written = F.coalesce(value, F.when(number == F.floor(number), number).try_cast("bigint"))
-    return F.when(c.rlike("^[0-9]{1,18}$"), c.try_cast("bigint")).otherwise(written)  # most are plain
+    power = F.when(s.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?[eE][+-]?[0-9]+$"), s.try_cast("decimal(38,18)"))
+    return F.coalesce(plain.try_cast("bigint"), F.when(power == F.floor(power), power).try_cast("bigint"))

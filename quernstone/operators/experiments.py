@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.hashing import splitmix64_int
+from quernstone.functions.numbers import digits
 
 #: Learning rates of the low half of a tune.
 MIXER_RATES = [12, 4, 6, 8, 10, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256]
@@ -19,12 +20,11 @@ def trials(receipts: DataFrame) -> DataFrame:
     """method, corpus, corpus_sha, tune, archive_bytes, wall_ms, exact, log_pos of search receipts:
     those attributed to the search with a readable tune in 0..255 and size; others are dropped.
     wall_ms truncates and defaults to 0, exact to false."""
-    digits = lambda c: F.when(F.col(c).rlike("^[0-9]{1,18}$"), F.col(c)).cast("bigint")
     r = receipts.filter("attribution = 'search/tune'").select(
-        "method", "corpus", F.col("input_sha256").alias("corpus_sha"), digits("tune").cast("int").alias("tune"), digits("archive_bytes").alias("archive_bytes"),
+        "method", "corpus", F.col("input_sha256").alias("corpus_sha"), digits(F.col("tune")).alias("tune"), digits(F.col("archive_bytes")).alias("archive_bytes"),
         F.floor(F.coalesce(F.col("wall_seconds").try_cast("double"), F.lit(0.0)) * 1000).cast("bigint").alias("wall_ms"), F.coalesce(F.col("exact") == "true", F.lit(False)).alias("exact"), "log_pos",
     )
-    return r.filter("tune BETWEEN 0 AND 255 AND archive_bytes IS NOT NULL")
+    return r.filter("tune BETWEEN 0 AND 255 AND archive_bytes IS NOT NULL").withColumn("tune", F.col("tune").cast("int"))
 
 
 def best_per_tune(t: DataFrame) -> DataFrame:
@@ -68,8 +68,7 @@ def untried(t: DataFrame, plan: list[int]) -> DataFrame:
 
 def against_parent(gates: DataFrame) -> DataFrame:
     """Gates with their archive change against the parent, and a decision by its sign."""
-    digits = lambda c: F.when(F.col(c).rlike("^[0-9]{1,18}$"), F.col(c)).cast("bigint")
-    g = gates.select("log_pos", "id", digits("archive_bytes").alias("bytes"), digits("parent_archive_bytes").alias("parent_bytes")).filter("bytes IS NOT NULL AND parent_bytes IS NOT NULL")
+    g = gates.select("log_pos", "id", digits(F.col("archive_bytes")).alias("bytes"), digits(F.col("parent_archive_bytes")).alias("parent_bytes")).filter("bytes IS NOT NULL AND parent_bytes IS NOT NULL")
     delta = F.col("bytes") - F.col("parent_bytes")
     return g.select("log_pos", "id", "bytes", "parent_bytes", delta.alias("delta"), F.when(delta < 0, "smaller").when(delta > 0, "larger").otherwise("equal").alias("change"))
 
@@ -90,9 +89,11 @@ def upper_median(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
 
 
 def size_literal(c: Column) -> Column:
-    """Bytes of a size literal: digits with K, M, G (with or without iB); null if it isn't one."""
-    n, unit = F.regexp_extract(c, r"^\s*([0-9]{1,9})\s*([KMG]?)(iB)?\s*$", 1), F.regexp_extract(c, r"^\s*([0-9]{1,9})\s*([KMG]?)(iB)?\s*$", 2)
-    return F.when(n != "", n.try_cast("bigint") * F.when(unit == "K", 1 << 10).when(unit == "M", 1 << 20).when(unit == "G", 1 << 30).otherwise(1))
+    """Bytes of a size literal: digits with K, M, G (with or without iB); null if it isn't one or
+    exceeds 64 bits with sign."""
+    part = lambda k: F.regexp_extract(c, r"^\s*([0-9]+)\s*([KMG]?)(iB)?\s*$", k)
+    unit = F.when(part(2) == "K", 1 << 10).when(part(2) == "M", 1 << 20).when(part(2) == "G", 1 << 30).otherwise(1)
+    return (part(1).try_cast("decimal(27,0)") * unit.cast("decimal(10,0)")).try_cast("bigint")
 
 
 def human_bytes(b: Column) -> Column:

@@ -37,7 +37,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references by table, month and reason."""
-    return orphans.orphan_counts(p1_found(spark, sf_dir))
+    return orphans.count_orphans(*_references(spark, sf_dir))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _number(c: str) -> str:
     s = f"trim({c}, ' ' || chr(9) || chr(10) || chr(13))"
     bare = f"regexp_replace(regexp_replace({s}, '\\s*([bB][yY][tT][eE][sS]?|[bB])$', ''), '(^[+-]?[0-9]{{1,3}}(,[0-9]{{3}})+(\\.0*)?$)|(^[+-]?[0-9]{{1,3}}( [0-9]{{3}})+$)|(^[+-]?[0-9]+(_[0-9]+)+$)', '\\0')"
     plain = f"CASE WHEN regexp_full_match({bare}, '[+-]?[0-9]{{1,3}}((,[0-9]{{3}})+|( [0-9]{{3}})+|(_[0-9]{{3}})+)') THEN regexp_replace({bare}, '[,_ ]', '', 'g') WHEN regexp_full_match({bare}, '[+-]?[0-9]+(\\.0*)?') THEN split_part({bare}, '.', 1) END"
-    return f"CASE WHEN regexp_full_match({s}, '0[xX][0-9a-fA-F]+') THEN ('0x' || {s}[3:])::BIGINT ELSE TRY_CAST({plain} AS BIGINT) END"
+    return f"CASE WHEN regexp_full_match({s}, '0[xX][0-9a-fA-F]+') THEN TRY_CAST('0x' || {s}[3:] AS BIGINT) ELSE TRY_CAST({plain} AS BIGINT) END"
 
 
 _NAME = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
@@ -173,8 +173,8 @@ p AS (SELECT log_pos, field, CASE field {_PIECES} END AS l FROM b), e AS (SELECT
 d AS (SELECT *, CASE field {_CUTS} END AS cut, CASE WHEN length(x) > 1 AND x[1] = chr(34) THEN replace(substring(x, 2, length(x) - 2), chr(34) || chr(34), chr(34))
 WHEN length(x) > 1 AND x[1] = chr(39) THEN replace(substring(x, 2, length(x) - 2), chr(39) || chr(39), chr(39)) ELSE x END AS y FROM e),
 q AS (SELECT *, sum(cut::INT) OVER (PARTITION BY log_pos, field ORDER BY i) AS place FROM d),
-v AS (SELECT log_pos, field, place, string_agg(y, '' ORDER BY i) FILTER (NOT cut) AS value FROM q GROUP BY ALL), m AS (SELECT log_pos, field, max(place) AS top FROM q GROUP BY ALL)
-SELECT log_pos, field, place::INT AS place, value FROM v JOIN m USING (log_pos, field) WHERE top > 0 AND value != ''"""
+v AS (SELECT log_pos, field, place, string_agg(y, '' ORDER BY i) FILTER (NOT cut) AS value FROM q GROUP BY ALL), m AS (SELECT log_pos, field FROM v WHERE value != '' GROUP BY ALL HAVING count(*) > 1)
+SELECT log_pos, field, place::INT AS place, value FROM v JOIN m USING (log_pos, field) WHERE value != ''"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.numbers import digits
 from quernstone.operators import experiments as ex
 from quernstone.operators import seqstats
 from quernstone.plans import methods
@@ -24,7 +25,7 @@ def _query(name: str | None, sql: str | None = None):
     return keep
 
 
-_T = """WITH r AS (SELECT method, corpus, input_sha256 AS corpus_sha, CASE WHEN regexp_full_match(tune, '[0-9]{1,18}') THEN tune::BIGINT END AS tune, CASE WHEN regexp_full_match(archive_bytes, '[0-9]{1,18}') THEN archive_bytes::BIGINT END AS archive_bytes,
+_T = """WITH r AS (SELECT method, corpus, input_sha256 AS corpus_sha, CASE WHEN regexp_full_match(tune, '[0-9]+') THEN TRY_CAST(tune AS BIGINT) END AS tune, CASE WHEN regexp_full_match(archive_bytes, '[0-9]+') THEN TRY_CAST(archive_bytes AS BIGINT) END AS archive_bytes,
 floor(coalesce(TRY_CAST(wall_seconds AS DOUBLE), 0) * 1000)::BIGINT AS wall_ms, coalesce(exact = 'true', false) AS exact, log_pos FROM phase9_tune WHERE attribution = 'search/tune'),
 t AS (SELECT * FROM r WHERE tune BETWEEN 0 AND 255 AND archive_bytes IS NOT NULL)
 """
@@ -98,7 +99,7 @@ def trial_improvements(t):
     return r.groupBy("method").agg(F.count("*").alias("n"), F.count_if("better").alias("improvements"))
 
 
-_DELTA = """WITH g AS (SELECT log_pos, id, archive_bytes::BIGINT AS bytes, parent_archive_bytes::BIGINT AS parent_bytes FROM tune53 WHERE regexp_full_match(archive_bytes, '[0-9]{1,18}') AND regexp_full_match(parent_archive_bytes, '[0-9]{1,18}'))
+_DELTA = """WITH g AS (SELECT log_pos, id, TRY_CAST(archive_bytes AS BIGINT) AS bytes, TRY_CAST(parent_archive_bytes AS BIGINT) AS parent_bytes FROM tune53 WHERE regexp_full_match(archive_bytes, '[0-9]+') AND regexp_full_match(parent_archive_bytes, '[0-9]+') AND bytes IS NOT NULL AND parent_bytes IS NOT NULL)
 """
 
 
@@ -107,17 +108,17 @@ def candidate_vs_parent(t):
     return ex.against_parent(t)
 
 
-@_query("phase6_receipts", "SELECT log_pos, a AS self_extracting, a + 250112 AS separate, round(8.0 * a / n, 6) AS bits_per_byte FROM (SELECT log_pos, archive_bytes::BIGINT + 125056 AS a, split_part(id, '/', 3)::BIGINT AS n FROM phase6_receipts WHERE regexp_full_match(archive_bytes, '[0-9]{1,18}') AND regexp_full_match(split_part(id, '/', 3), '[0-9]{1,18}'))")
+@_query("phase6_receipts", "SELECT log_pos, a AS self_extracting, a + 250112 AS separate, round(8.0 * a / n, 6) AS bits_per_byte FROM (SELECT log_pos, archive_bytes::BIGINT + 125056 AS a, split_part(id, '/', 3)::BIGINT AS n FROM phase6_receipts WHERE regexp_full_match(archive_bytes, '[0-9]+') AND regexp_full_match(split_part(id, '/', 3), '[0-9]+'))")
 def score_forms(t):
     """Totals with the program once or with two further copies, and bits per input byte; the program
     has 125,056 bytes."""
     program = 125_056
     n = F.get(F.split("id", "/"), F.lit(2))
-    r = t.filter(F.col("archive_bytes").rlike("^[0-9]{1,18}$") & n.rlike("^[0-9]{1,18}$")).select("log_pos", (F.col("archive_bytes").cast("bigint") + program).alias("a"), n.cast("bigint").alias("n"))
+    r = t.select("log_pos", (digits(F.col("archive_bytes")) + program).alias("a"), digits(n).alias("n")).filter("a IS NOT NULL AND n IS NOT NULL")
     return r.select("log_pos", F.col("a").alias("self_extracting"), (F.col("a") + 2 * program).alias("separate"), F.round(F.lit(8.0) * F.col("a") / F.col("n"), 6).alias("bits_per_byte"))
 
 
-_CONF = """WITH i AS (SELECT DISTINCT split_part(id, '/', 3)::BIGINT AS n FROM phase6_receipts WHERE regexp_full_match(split_part(id, '/', 3), '[0-9]{1,18}')),
+_CONF = """WITH i AS (SELECT DISTINCT split_part(id, '/', 3)::BIGINT AS n FROM phase6_receipts WHERE regexp_full_match(split_part(id, '/', 3), '[0-9]+')),
 b AS (SELECT n, CASE WHEN n <= 2000000 THEN 18 WHEN n <= 20000000 THEN 20 WHEN n <= 200000000 THEN 22 ELSE 24 END AS bits FROM i),
 m AS (SELECT n, bits, (2 * ((1::BIGINT << least(bits, 20)) + 9 * (1::BIGINT << bits) + 2 * (1::BIGINT << least(bits, 22))) + 4 * (1::BIGINT << bits) + 132 * (4096 + 65536))::BIGINT AS model FROM b)
 """
@@ -126,7 +127,7 @@ m AS (SELECT n, bits, (2 * ((1::BIGINT << least(bits, 20)) + 9 * (1::BIGINT << b
 @_query("phase6_receipts", _CONF + "SELECT n, bits, model AS model_bytes, 2 * n + n // 3 + 1048576 + model AS encode_bytes, 3 * n + model AS decode_bytes, 2 * n + n // 3 + 1048576 + model <= 8589934592 AS fits FROM m")
 def memory_projection(t):
     """Projected memory of the base configuration by input size, and whether it fits 8 GiB."""
-    sizes = t.select(F.get(F.split("id", "/"), F.lit(2)).alias("n")).filter("n rlike '^[0-9]{1,18}$'").select(F.col("n").cast("bigint").alias("n")).distinct()
+    sizes = t.select(digits(F.get(F.split("id", "/"), F.lit(2))).alias("n")).filter("n IS NOT NULL").distinct()
     return methods.projection(sizes)
 
 
@@ -201,10 +202,15 @@ def hourly_windows(t):
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "cents")
 
 
-@_query(None, "SELECT * FROM (VALUES ('1024', 1024::BIGINT), ('1K', 1024), ('2M', 2097152), ('3G', 3221225472), ('1GiB', 1073741824), ('x', NULL), ('', NULL)) v(literal, bytes)")
+@_query(None, """WITH l AS (SELECT log_pos, field, s || u AS literal, s, u FROM (SELECT log_pos, unnest(['archive_bytes', 'peak_rss_bytes']) AS field, unnest([archive_bytes, peak_rss_bytes]) AS s FROM phase9_tune), (SELECT unnest(['', 'K', 'M', 'GiB']) AS u) WHERE s IS NOT NULL)
+SELECT log_pos, field, literal, CASE WHEN regexp_full_match(s, '\\s*[0-9]+') THEN TRY_CAST(TRY_CAST(trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS HUGEINT) * CASE u WHEN '' THEN 1 WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 ELSE 1073741824 END AS BIGINT)
+WHEN u = '' AND regexp_full_match(s, '\\s*[0-9]+\\s*') THEN TRY_CAST(trim(s, ' ' || chr(9) || chr(10) || chr(13)) AS BIGINT) END AS bytes FROM l WHERE NOT regexp_full_match(s, '\\s*[0-9]+\\s+') OR u = ''""")
 def size_literals(spark, d):
-    r = spark.createDataFrame([(x,) for x in ("1024", "1K", "2M", "3G", "1GiB", "x", "")], "literal string")
-    return r.select("literal", ex.size_literal(F.col("literal")).alias("bytes"))
+    """Sizes of the trials read as size literals, as they are and with units set behind them."""
+    t = table(spark, d, "phase9_tune").select("log_pos", F.explode(F.create_map(F.lit("archive_bytes"), "archive_bytes", F.lit("peak_rss_bytes"), "peak_rss_bytes")).alias("field", "s")).filter("s IS NOT NULL")
+    t = t.select("log_pos", "field", "s", F.explode(F.array(*[F.lit(u) for u in ("", "K", "M", "GiB")])).alias("u")).filter("u = '' OR s NOT RLIKE '^\\\\s*[0-9]+\\\\s+$'")
+    literal = F.concat("s", "u")
+    return t.select("log_pos", "field", literal.alias("literal"), ex.size_literal(literal).alias("bytes"))
 
 
 @_query(None, None)

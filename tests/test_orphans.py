@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -20,19 +21,22 @@ def brute(refs, targets):
             continue
         begun = at is not None and any(a <= at for a, _ in own)
         out.append((tab, pos, period, "missing" if not own else "deleted" if begun else "late"))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def run(spark, refs, targets, **kw):
     df = orphans.find_orphans(spark.createDataFrame(refs, REF), spark.createDataFrame(targets, TARGET), **kw)
-    return sorted((r.table_name, r.log_pos, r.period, r.reason) for r in df.collect())
+    counts = orphans.count_orphans(spark.createDataFrame(refs, REF), spark.createDataFrame(targets, TARGET), **kw).collect()
+    rows = sorted(((r.table_name, r.log_pos, r.period, r.reason) for r in df.collect()), key=repr)
+    assert {(r.table_name, r.period, r.reason): r.n for r in counts} == Counter((a, c, d) for a, _, c, d in rows)
+    return rows
 
 
-@pytest.mark.parametrize("kw", [{}, {"heavy_rows": 5, "heavy_share": 0.05}, {"heavy_rows": 5, "heavy_share": 0.05, "broadcast_rows": 0}])
+@pytest.mark.parametrize("kw", [{}, {"heavy_rows": 5, "heavy_share": 0.05}, {"heavy_rows": 5, "heavy_share": 0.05, "broadcast_rows": 0}, {"heavy_rows": 5, "heavy_share": 1.0, "task_rows": 7, "broadcast_rows": 0}])
 def test_random(spark, kw):
     rnd = random.Random(3)
     keys = ["hot"] * 6 + list("abcdefg")
-    refs = [("t", i, "2024-01", rnd.choice(keys), t(rnd.randint(0, 60))) for i in range(120)]
+    refs = [("t", i, rnd.choice(["2024-01", "2024-02", None]), rnd.choice(keys), t(rnd.randint(0, 60))) for i in range(120)]
     targets = [(rnd.choice(["hot", *"abcd"]), t(a := rnd.randint(0, 60)), rnd.choice([None, t(a + rnd.randint(-2, 20))])) for _ in range(40)]
     assert run(spark, refs, targets, **kw) == brute(refs, targets)
 
@@ -59,4 +63,4 @@ def test_extra_columns_and_counts(spark):
     refs = spark.createDataFrame([("t", 1, "p", "a", t(1), 7, "x")], REF + ", n int, since string")
     got = orphans.find_orphans(refs, spark.createDataFrame([], TARGET))
     assert got.first().asDict()["since"] == "x"
-    assert orphans.orphan_counts(got).first().n == 1
+    assert orphans.count_orphans(refs, spark.createDataFrame([], TARGET)).first().n == 1
