@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quernstone.functions.numbers import stripped
 from quernstone.session import stage
 
-#: Longest skeleton whose rule is broadcast; with the row limit it bounds the broadcast's size.
-SHORT = 500
+#: Marks that the broadcast rules may have together: with some tens of bytes a mark it bounds the
+#: broadcast's size.
+BROADCAST_MARKS = 1_000_000
 
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 _RULE = "field string, skeleton string, n bigint, slots array<struct<place: int, parts: array<int>>>"
@@ -36,7 +37,7 @@ def skeleton(text: Column, delimiters: str) -> Column:
 
 def split_rule(s: str) -> list[dict]:
     """Where the values of a skeleton lie: for each value that isn't empty its place and the
-    tokens that make it up; nothing if there are fewer than two places."""
+    tokens that make it up; nothing if there are fewer than two such values."""
     lo, hi = 0, len(s)
     while hi - lo > 1 and s[lo] in _PAIRS and _closing(s, lo, hi) == hi - 1:
         lo, hi = lo + 1, hi - 1
@@ -58,15 +59,13 @@ def split_rule(s: str) -> list[dict]:
             now.append(i)
             i += 1
     values.append(now)
-    if len(values) < 2:
-        return []
     out = []
     for place, v in enumerate(values):
         if len(v) > 1 and _PAIRS.get(s[v[0]]) == s[v[-1]]:
             v = v[1:-1]
         if v:
             out.append({"place": place, "parts": v})
-    return out
+    return out if len(out) > 1 else []
 
 
 def _quote_end(s: str, i: int, hi: int) -> int | None:
@@ -106,7 +105,7 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(slots=[split_rule(s) for s in b["skeleton"]])[["field", "skeleton", "n", "slots"]]
 
 
-def split_packed(df: DataFrame, key: str, fields: dict[str, str], *, broadcast_rules: int = 100_000) -> DataFrame:
+def split_packed(df: DataFrame, key: str, fields: dict[str, str], *, broadcast_marks: int = BROADCAST_MARKS) -> DataFrame:
     """One row (key, field, place, value) per value of each text that holds two or more.
 
     fields: column -> its hard delimiters. A delimiter takes the blanks around it; blanks alone
@@ -115,11 +114,12 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str], *, broadcast_r
     quotes as one. place counts from 0; empty values take a place without a row.
 
     Each text is masked to a skeleton; the splitting rule is found once per distinct skeleton, in
-    parallel, and applied to the rows by token positions. Rules of skeletons up to SHORT marks are
-    broadcast, the most frequent `broadcast_rules` of them if there are more; the rest, rare by
-    then, and longer ones are joined by shuffle.
+    parallel, and applied to the rows by token positions. Rules are broadcast while their marks,
+    summed, stay within `broadcast_marks`. Beyond that, classes of skeletons (by the powers of two
+    of their texts and lengths) are taken from the most frequent on as far as they fit, and the
+    rules of the others are joined by shuffle.
 
-    Null, empty and blank texts and single values give no rows. A quote that never closes is an
+    Null, empty and blank texts and texts with one value that isn't empty give no rows. A quote that never closes is an
     ordinary mark. Repeated rows come out repeated. Texts of any length are split whole.
     """
     rows = None
@@ -131,14 +131,20 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str], *, broadcast_r
     found = rows.groupBy("field", "skeleton").agg(F.count("*").alias("n"))
     rules = stage(found.mapInPandas(_resolve, _RULE)).filter(F.size("slots") > 0)
     on = ["field", "skeleton"]
-    short = F.length("skeleton") <= SHORT
-    count = rules.agg(F.count("*").alias("n"), F.count_if(short).alias("short")).first()
-    if count.n == count.short <= broadcast_rules:
-        hit = rows.join(F.broadcast(rules), on)
-    else:
-        top = F.broadcast(rules.filter(short).orderBy(F.desc("n"), *on).limit(broadcast_rules))
-        rare = rules.join(top.select(*on), on, "left_anti")
-        hit = rows.join(top, on).unionByName(rows.join(top.select(*on), on, "left_anti").join(rare, on))
+    # at most 64 x 64 classes, however many rules there are
+    marks, often = F.length("skeleton"), F.floor(F.log2("n"))
+    rules = rules.withColumns({"_often": often, "_size": F.floor(F.log2(marks))})
+    classes = rules.groupBy("_often", "_size").agg(F.sum(marks).alias("marks")).collect()
+    kept, left = [], broadcast_marks
+    for c in sorted(classes, key=lambda c: (-c["_often"], c["_size"])):
+        if c.marks <= left:
+            kept, left = [*kept, c["_often"] * 64 + c["_size"]], left - c.marks
+    chosen = (F.col("_often") * 64 + F.col("_size")).isin(kept)
+    few = F.broadcast(rules.filter(chosen).drop("_often", "_size"))
+    hit = rows.join(few, on)
+    if len(kept) < len(classes):
+        rare = rules.filter(~chosen).drop("_often", "_size")
+        hit = hit.unionByName(rows.join(few.select(*on), on, "left_anti").join(rare, on))
     slot = hit.select("key", "field", "tokens", F.explode("slots").alias("slot"))
     value = F.array_join(F.transform("slot.parts", lambda i: F.get("tokens", i)), "")
     return slot.select(F.col("key").alias(key), "field", F.col("slot.place").alias("place"), value.alias("value"))

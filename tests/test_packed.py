@@ -17,15 +17,17 @@ CASES = [
     ("search/tune", TEXT, []),
     ("  a | | b  ", TEXT, [(0, "a"), (2, "b")]),
     ("a\t b", TEXT, [(0, "a"), (1, "b")]),
-    (" , b", TEXT, [(1, "b")]),
-    ("6;", RATES, [(0, "6")]),
+    (" , b", TEXT, []),
+    ("6;", RATES, []),
+    (" , b, c", TEXT, [(1, "b"), (2, "c")]),
     ("'7' '8'", RATES, [(0, "7"), (1, "8")]),
     ("\"note=a, b; c\"|x", TEXT, [(0, "note=a, b; c"), (1, "x")]),
     ("x;note=\"operator's pick; rerun\"", TEXT, [(0, "x"), (1, "note=operator's pick; rerun")]),
     ('note="the ""cold"" table",y', TEXT, [(0, 'note=the "cold" table'), (1, "y")]),
     ("it's, fine", TEXT, [(0, "it's"), (1, "fine")]),
     ("\"open, end", TEXT, [(0, '"open'), (1, "end")]),
-    ('"",b', TEXT, [(1, "b")]),
+    ('"",b', TEXT, []),
+    ('"",b;c', TEXT, [(1, "b"), (2, "c")]),
     ("a,b c", TEXT, [(0, "a"), (1, "b"), (2, "c")]),
     ("", TEXT, []),
     ("   ", TEXT, []),
@@ -33,12 +35,12 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [100_000, 1])
+@pytest.mark.parametrize("limit", [100_000, 20, 0])
 def test_cases(spark, limit):
     rows = [(k, s if d == TEXT else None, s if d == RATES else None, "extra") for k, (s, d, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows, "id bigint, t string, r string, value string")
     got = {}
-    for x in packed.split_packed(df, "id", {"t": TEXT, "r": RATES}, broadcast_rules=limit).collect():
+    for x in packed.split_packed(df, "id", {"t": TEXT, "r": RATES}, broadcast_marks=limit).collect():
         got.setdefault(x.id, []).append((x.place, x.value))
     for k, (s, _, want) in enumerate(CASES):
         assert sorted(got.get(k, [])) == want, s
