@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.session import maybe_broadcast, stage
+from quernstone.session import BROADCAST_ROWS, maybe_broadcast, stage
 
 _TYPES = {"string": "STRING", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
 
@@ -29,8 +31,7 @@ def _type(v: Column) -> Column:
 
 def _explode(recs: DataFrame, *keep: str) -> DataFrame:
     """Rows (keep..., pos, key, value) of the records' fields; nulls for an empty object."""
-    recs.createOrReplaceTempView("_quern_records")
-    return recs.sparkSession.sql(f"SELECT {', '.join('r.' + c for c in keep)}, f.pos AS pos, f.key AS key, f.value AS value FROM _quern_records r, LATERAL variant_explode_outer(r.v) f")
+    return recs.sparkSession.sql(f"SELECT {', '.join('r.' + c for c in keep)}, f.pos AS pos, f.key AS key, f.value AS value FROM {{r}} r, LATERAL variant_explode_outer(r.v) f", r=recs)
 
 
 def chain(lines: DataFrame) -> DataFrame:
@@ -66,7 +67,22 @@ def fingerprints(fields: DataFrame) -> DataFrame:
     return fields.groupBy("log_file").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(f)), ","), 256).alias("fingerprint"))
 
 
-def schema_changes(lines: DataFrame, *, id_field: str = "id", sha_field: str = "archive_sha256") -> DataFrame:
+@dataclass
+class Profile:
+    """Staged: the chained files, one narrow row per field of every record, and the files' fields."""
+
+    files: DataFrame
+    parts: DataFrame
+    fields: DataFrame
+
+
+def profile(lines: DataFrame, *, id_field: str = "id", sha_field: str = "archive_sha256") -> Profile:
+    lines = lines.select("run_dir", "log_name", "log_file", "file_seq", "line")
+    parts = stage(cells(records(lines), id_field, sha_field))
+    return Profile(stage(chain(lines)), parts, stage(file_fields(parts)))
+
+
+def schema_changes(lines: DataFrame | Profile, *, id_field: str = "id", sha_field: str = "archive_sha256") -> DataFrame:
     """Changes of each file against the file before it in its series: log_file, change_kind, field,
     new_field.
 
@@ -81,38 +97,39 @@ def schema_changes(lines: DataFrame, *, id_field: str = "id", sha_field: str = "
     Repeated lines count as often as they occur; a first file has no changes. An empty table gives
     no rows.
     """
-    lines = lines.select("run_dir", "log_name", "log_file", "file_seq", "line")
-    files = stage(chain(lines))
-    parts = stage(cells(records(lines), id_field, sha_field))
-    fields = stage(file_fields(parts))
+    known = lines if isinstance(lines, Profile) else profile(lines, id_field=id_field, sha_field=sha_field)
+    files, parts, fields = known.files, known.parts, known.fields
+    # what there is by file is broadcast once counted; only the cells of records are shuffled
+    few = files.count() * 64 <= BROADCAST_ROWS
+    side = F.broadcast if few else lambda df: df
     prints = fingerprints(fields)
     link = files.filter("next_file IS NOT NULL").select("log_file", "next_file")
     before = prints.select(F.col("log_file"), F.col("fingerprint").alias("_old"))
     after = prints.select(F.col("log_file").alias("next_file"), F.col("fingerprint").alias("_new"))
-    moved = link.join(before, "log_file", "left").join(after, "next_file", "left").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("log_file", "next_file")
-    old = fields.join(moved, "log_file").select(F.col("next_file").alias("log_file"), F.col("field"), F.col("type").alias("_old"), F.lit(True).alias("_had"))
-    new = fields.join(moved.select(F.col("next_file").alias("log_file")), "log_file").select("log_file", "field", F.col("type").alias("_new"), F.lit(True).alias("_has"))
+    moved = link.join(side(before), "log_file", "left").join(side(after), "next_file", "left").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("log_file", "next_file")
+    old = fields.join(side(moved), "log_file").select(F.col("next_file").alias("log_file"), F.col("field"), F.col("type").alias("_old"), F.lit(True).alias("_had"))
+    new = fields.join(side(moved.select(F.col("next_file").alias("log_file"))), "log_file").select("log_file", "field", F.col("type").alias("_new"), F.lit(True).alias("_has"))
     both = stage(old.join(new, ["log_file", "field"], "full").filter("_had IS NULL OR _has IS NULL OR _old != _new"))
 
     kept = both.filter("_had AND _has").select("log_file", F.lit("type_changed").alias("change_kind"), "field", F.col("field").alias("new_field"))
     gone = both.filter("_has IS NULL").select("log_file", "field")
     come = both.filter("_had IS NULL").select("log_file", "field")
-    mixed = gone.select("log_file").intersect(come.select("log_file"))
-    wanted = both.filter("_had IS NULL OR _has IS NULL").select("log_file", "field", F.col("_has").isNotNull().alias("_comes")).join(mixed, "log_file")
-    wanted = wanted.groupBy("log_file").agg(F.collect_set(F.when(F.col("_comes"), F.col("field"))).alias("_come"), F.collect_set(F.when(~F.col("_comes"), F.col("field"))).alias("_gone"))
+    wanted = both.filter("_had IS NULL OR _has IS NULL").groupBy("log_file").agg(F.collect_set(F.when(F.col("_has"), F.col("field"))).alias("_come"), F.collect_set(F.when(F.col("_had"), F.col("field"))).alias("_gone"))
+    wanted = wanted.filter((F.size("_come") > 0) & (F.size("_gone") > 0))
 
-    renames = stage(_renames(parts, link, wanted, id_field))
+    renames = stage(_renames(parts, link, wanted, id_field, side))
     out = [
         kept,
         renames.select("log_file", F.lit("renamed").alias("change_kind"), "field", "new_field"),
-        gone.join(renames.select("log_file", "field"), ["log_file", "field"], "left_anti").select("log_file", F.lit("removed").alias("change_kind"), "field", F.lit("").alias("new_field")),
-        come.join(renames.select("log_file", F.col("new_field").alias("field")), ["log_file", "field"], "left_anti").select("log_file", F.lit("added").alias("change_kind"), F.lit("").alias("field"), F.col("field").alias("new_field")),
+        gone.join(side(renames.select("log_file", "field")), ["log_file", "field"], "left_anti").select("log_file", F.lit("removed").alias("change_kind"), "field", F.lit("").alias("new_field")),
+        come.join(side(renames.select("log_file", F.col("new_field").alias("field"))), ["log_file", "field"], "left_anti").select("log_file", F.lit("added").alias("change_kind"), F.lit("").alias("field"), F.col("field").alias("new_field")),
     ]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-def _renames(parts: DataFrame, link: DataFrame, wanted: DataFrame, id_field: str) -> DataFrame:
-    old = wanted.join(link.withColumnRenamed("log_file", "_file"), F.col("log_file") == F.col("next_file")).select("_file", F.col("log_file").alias("target"), F.lit(0).alias("side"), F.col("_gone").alias("fields"))
+def _renames(parts: DataFrame, link: DataFrame, wanted: DataFrame, id_field: str, side) -> DataFrame:
+    wanted = stage(wanted)
+    old = wanted.join(side(link.withColumnRenamed("log_file", "_file")), F.col("log_file") == F.col("next_file")).select("_file", F.col("log_file").alias("target"), F.lit(0).alias("side"), F.col("_gone").alias("fields"))
     new = wanted.select(F.col("log_file").alias("_file"), F.col("log_file").alias("target"), F.lit(1).alias("side"), F.col("_come").alias("fields"))
     need = maybe_broadcast(stage(old.unionByName(new)))
     # a record's id stands for the record, so that one without wanted fields is seen too
@@ -128,46 +145,112 @@ def _renames(parts: DataFrame, link: DataFrame, wanted: DataFrame, id_field: str
         w = Window.partitionBy("log_file", "_n", "_s1", "_s2").orderBy("field")
         return s.withColumn("_rank", F.row_number().over(w)).withColumnRenamed("field", name)
 
-    return signed("old", "field").join(signed("new", "new_field"), ["log_file", "_n", "_s1", "_s2", "_rank"]).select("log_file", "field", "new_field")
+    return signed("old", "field").join(side(signed("new", "new_field")), ["log_file", "_n", "_s1", "_s2", "_rank"]).select("log_file", "field", "new_field")
+
 
+#: The JSON type that a column type takes without a cast.
+_NATURAL = {"string": "string", "boolean": "boolean", "bigint": "number", "double": "number"}
 
-def unified(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """One consistent table: log_file, line_no, version, and `fields`, a map from canonical names
-    to values as text.
 
-    Each series keeps a chain of migration steps made of its `changes`: a renamed field keeps the
-    name under which the series first had it, an added one its own, a removed one defaults to null,
-    a changed type is cast to text (strings as they are, other values as JSON). version counts a
-    series' schemas. The chain is folded over the files of a series that change (not over
-    records); every record is routed through the rules of its file by a join on log_file. Fields
-    of single records that the file as a whole lacks keep their own names, with a `?` before them if that name is
-    taken. Broken lines are left out.
+def migrations(known: Profile, changes: DataFrame) -> DataFrame:
+    """One row per file with the rules that its records go through: log_file, version, fingerprint,
+    names (a map from the file's fields to canonical names, where they differ), known (the
+    canonical names that the series has had so far).
+
+    A renamed field keeps the name under which the series first had it, an added one has its own
+    (with `?` before it if that is taken). version counts the schemas of a series. The rules are
+    folded over the files of each series, which are few against its records.
     """
-    files = chain(lines)
     steps = changes.groupBy("log_file").agg(F.collect_list(F.struct("change_kind", "field", "new_field")).alias("steps"))
-    events = files.join(steps, "log_file", "left").select("run_dir", "log_name", "log_file", "file_seq", "steps")
-    rules = events.groupBy("run_dir", "log_name").applyInPandas(_fold, "log_file string, version int, names map<string,string>")
-    recs = records(lines.select("log_file", "line_no", "line")).join(rules, "log_file")
-    cells = _explode(recs, "log_file", "line_no", "version", "names")
-    text = F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
-    kind = F.schema_of_variant("value")
-    value = F.when(kind == "VOID", F.lit(None)).when(kind.rlike("^(ARRAY|OBJECT)"), F.to_json("value")).otherwise(text)
-    taken = F.array_contains(F.map_values("names"), F.col("key")) & ~F.map_contains_key("names", F.col("key"))
-    name = F.coalesce(F.element_at("names", F.col("key")), F.when(taken, F.concat(F.lit("?"), "key")).otherwise(F.col("key")))
-    cells = cells.select("log_file", "line_no", "version", F.when(F.col("key").isNotNull(), F.struct(name.alias("k"), value.alias("v"))).alias("cell"))
-    return cells.groupBy("log_file", "line_no", "version").agg(F.map_from_entries(F.array_sort(F.collect_set("cell"))).alias("fields"))
+    first = known.files.filter("first").select("log_file").join(known.fields, "log_file").groupBy("log_file").agg(F.collect_set("field").alias("born"))
+    events = known.files.join(steps, "log_file", "left").join(first, "log_file", "left").join(fingerprints(known.fields), "log_file", "left")
+    return events.select("run_dir", "log_name", "log_file", "file_seq", "steps", "born", "fingerprint").groupBy("run_dir", "log_name").applyInPandas(_fold, "log_file string, version int, fingerprint string, names map<string,string>, known array<string>")
+
+
+def _name(key: Column, names: Column, mark: Column) -> Column:
+    taken = F.array_contains(F.map_values(names), key) & ~F.map_contains_key(names, key)
+    return F.coalesce(F.element_at(names, key), F.when(taken, F.concat(mark, key)).otherwise(key))
+
+
+def unified(lines: DataFrame, rules: DataFrame, types: dict[str, str]) -> DataFrame:
+    """One consistent table: log_file, line_no, version, a column for each field of `types`
+    (canonical name -> string, bigint, double or boolean), and `rest`.
+
+    Every record is routed through the rules of its file (see migrations), within its row: fields
+    are renamed, a field that it lacks or that is null defaults to null, values are cast to the column's
+    type. A cast unwraps an array of one element and an object's member `value`; other arrays and objects stay
+    JSON text. `rest` holds as lines `name=text`, by name, what the columns don't: fields without a
+    column, values that can't be read as the column's type, and objects. Fields of single records
+    that the file as a whole lacks keep their own names, with a `?` before them if that name is
+    taken. Broken lines are left out; repeated ones come out repeated.
+    """
+    recs = records(lines.select("log_file", "line_no", "line")).join(maybe_broadcast(rules.select("log_file", "version", "names")), "log_file")
+    recs = recs.withColumn("_m", F.try_variant_get("v", "$", "map<string,variant>"))
+    mark = F.repeat(F.lit("?"), F.coalesce(F.array_max(F.transform(F.map_keys("_m"), lambda k: F.length(F.regexp_extract(k, r"^\?*", 0)))), F.lit(0)) + 1)
+    cells = recs.select("log_file", "line_no", "version", F.transform_keys("_m", lambda k, _: _name(k, F.col("names"), mark)).alias("_m"))
+    cells = cells.withColumns({"_raw": F.transform_values("_m", lambda _, x: _text(x)), "_value": F.transform_values("_m", lambda _, x: _text(_inner(x)))})
+    value = lambda k: F.element_at("_value", k)
+    typed = {k: value(k) if t == "string" else F.trim(value(k)).try_cast(t) for k, t in types.items()}
+    odd = F.array_compact(F.array(*[F.when(value(k).isNotNull() & typed[k].isNull(), k) for k, t in types.items() if t != "string"])) if set(types.values()) - {"string"} else F.array().cast("array<string>")
+    own = F.array(*[F.lit(k) for k in types]).cast("array<string>")
+    left = F.filter(F.map_entries("_raw"), lambda e: ~F.array_contains(own, e["key"]) | F.array_contains(odd, e["key"]) | e["value"].startswith("{"))
+    rest = F.array_join(F.array_sort(F.transform(left, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "\n")
+    return cells.select("log_file", "line_no", "version", *[c.alias(k) for k, c in typed.items()], rest.alias("rest"))
+
+
+def _text(x: Column) -> Column:
+    return F.when(F.schema_of_variant(x) != "VOID", F.coalesce(F.when(~F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(x, "$", "string")), F.to_json(x)))
+
+
+def _inner(x: Column) -> Column:
+    kind = F.schema_of_variant(x)
+    one = kind.startswith("ARRAY") & F.try_variant_get(x, "$[1]", "variant").isNull()
+    return F.when(one, F.try_variant_get(x, "$[0]", "variant")).when(kind.startswith("OBJECT"), F.coalesce(F.try_variant_get(x, "$.value", "variant"), x)).otherwise(x)
+
+
+def applied_steps(known: Profile, rules: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Every step that the rules take, by file: log_file, version, step, field, name, from_type, n.
+
+    step: `rename` (the file's field has another name in the table), `cast` (values of the JSON
+    type from_type become the column's type; one row per type met), `default` (records without a
+    field that the series has had, set to null). n counts the records. Fields without a column stay text.
+    """
+    seen = known.parts.filter("field IS NOT NULL").groupBy("log_file", "field", "type").agg(F.count("*").alias("n"))
+    total = known.parts.filter("first").groupBy("log_file").agg(F.count("*").alias("records"))
+    rules = maybe_broadcast(stage(rules))
+    named = stage(seen.join(rules, "log_file").select("log_file", "version", "field", _name(F.col("field"), F.col("names"), F.lit("?")).alias("name"), "type", "n"))
+    natural = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, t in types.items() for x in (k, _NATURAL[t])]), F.col("name")), F.lit("string"))
+    no = F.lit(None).cast("string")
+    renames = named.filter("field != name").groupBy("log_file", "version", F.lit("rename").alias("step"), "field", "name").agg(F.sum("n").alias("n")).withColumn("from_type", no)
+    casts = named.filter(F.col("type") != natural).select("log_file", "version", F.lit("cast").alias("step"), "field", "name", "n", F.col("type").alias("from_type"))
+    have = named.groupBy("log_file", "name").agg(F.sum("n").alias("_have"))
+    want = rules.join(total, "log_file").select("log_file", "version", "records", F.explode("known").alias("name"))
+    lacks = want.join(have, ["log_file", "name"], "left").withColumn("n", F.col("records") - F.coalesce("_have", F.lit(0))).filter("n > 0")
+    lacks = lacks.select("log_file", "version", F.lit("default").alias("step"), no.alias("field"), "name", "n", no.alias("from_type"))
+    return renames.unionByName(casts).unionByName(lacks).select("log_file", "version", "step", "field", "name", "from_type", "n")
 
 
 def _fold(events: pd.DataFrame) -> pd.DataFrame:
     names: dict[str, str] = {}
+    seen: set[str] = set()
     version, out = 1, []
     for row in events.sort_values(["file_seq", "log_file"]).itertuples():
         steps = [] if row.steps is None else list(row.steps)
         version += bool(steps)
+        for f in row.born if row.born is not None else ():
+            seen.add(f)
         renamed = {s["new_field"]: names.get(s["field"], s["field"]) for s in steps if s["change_kind"] == "renamed"}
         for s in steps:
             if s["change_kind"] in ("renamed", "removed"):
                 names.pop(s["field"], None)
         names |= renamed
-        out.append((row.log_file, version, {k: v for k, v in names.items() if k != v}))
-    return pd.DataFrame(out, columns=["log_file", "version", "names"])
+        for s in steps:
+            if s["change_kind"] == "added":
+                name = s["new_field"]
+                while name in names.values():
+                    name = "?" + name
+                if name != s["new_field"]:
+                    names[s["new_field"]] = name
+                seen.add(name)
+        out.append((row.log_file, version, row.fingerprint, {k: v for k, v in names.items() if k != v}, sorted(seen)))
+    return pd.DataFrame(out, columns=["log_file", "version", "fingerprint", "names", "known"])

@@ -55,12 +55,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(spread(table(spark, sf_dir, "receipt_lines")))
 
 
+#: Columns of the consistent table of receipts.
+_TEXTS = ["id", "hypothesis", "parent", "revision", "compiler", "corpus", "input_sha256", "archive_sha256", "decoded_sha256", "environment", "attribution", "decision", "notes", "method", "mixer_lr", "apm_sel", "apm_rates", "phase", "parent_source"]
+_LONGS = ["compressor_bytes", "archive_bytes", "score_total", "peak_rss_bytes", "temp_disk_bytes", "tune", "lr_idx", "parent_tune", "parent_archive_bytes"]
+RECEIPT_TYPES = dict.fromkeys(_TEXTS, "string") | dict.fromkeys(_LONGS, "bigint") | dict.fromkeys(["wall_seconds", "cpu_seconds", "bits_per_byte"], "double") | dict.fromkeys(["exact", "parent_exact"], "boolean")
+
+
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All receipts of the raw logs in one consistent table: every field under its canonical name in
-    `fields`, with the key and the three drifting fields as columns as well."""
-    lines = table(spark, sf_dir, "receipt_lines")
-    rows = drift.unified(lines, drift.schema_changes(lines))
-    return rows.select("log_file", "line_no", "version", *[F.col("fields")[k].alias(k) for k in ("id", "archive_sha256", "lr_idx", "bits_per_byte", "parent_source")], F.size("fields").alias("n_fields"), "fields")
+    """All receipts of the raw logs in one consistent table with typed columns; what they don't hold
+    is in `rest`."""
+    lines = spread(table(spark, sf_dir, "receipt_lines"))
+    known = drift.profile(lines)
+    return drift.unified(lines, stage(drift.migrations(known, drift.schema_changes(known))), RECEIPT_TYPES)
+
+
+def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The renames, casts and defaults that bring each file into that table, with their records."""
+    known = drift.profile(spread(table(spark, sf_dir, "receipt_lines")))
+    return drift.applied_steps(known, drift.migrations(known, drift.schema_changes(known)), RECEIPT_TYPES)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,16 +160,33 @@ SELECT log_file, 'type_changed' AS change_kind, k AS field, k AS new_field FROM
 UNION ALL SELECT log_file, 'removed', k, '' FROM gone ANTI JOIN (SELECT log_file, field AS k FROM ren) USING (log_file, k) UNION ALL SELECT log_file, 'added', '', k FROM come ANTI JOIN (SELECT log_file, new_field AS k FROM ren) USING (log_file, k)"""
 
 #: Every field is followed under the name that its series first gave it, from file to file.
-_P3U = (
+_P3N = (
     _P3.replace("WITH r AS", "WITH RECURSIVE r AS", 1).replace("\nSELECT log_file, 'type_changed' AS change_kind", ",\nc AS MATERIALIZED (SELECT log_file, 'type_changed' AS change_kind", 1).replace("ren AS (SELECT x.log_file", "ren AS MATERIALIZED (SELECT x.log_file", 1)
     + """),
 born AS (SELECT f.log_file, s.k AS name, s.k AS canon FROM f JOIN s USING (log_file) WHERE f.before IS NULL UNION ALL SELECT log_file, new_field, new_field FROM c WHERE change_kind = 'added'),
 named AS (SELECT * FROM born UNION ALL SELECT f.log_file, CASE WHEN c.change_kind = 'renamed' THEN c.new_field ELSE m.name END, m.canon FROM named m JOIN f ON f.before = m.log_file LEFT JOIN c ON c.log_file = f.log_file AND c.field = m.name AND c.change_kind IN ('renamed', 'removed') WHERE c.change_kind IS DISTINCT FROM 'removed'),
 moved AS (SELECT log_file, name, canon FROM named WHERE name != canon),
-ver AS (SELECT log_file, (1 + sum(log_file IN (SELECT log_file FROM c)) OVER (PARTITION BY run_dir, log_name ORDER BY file_seq, log_file))::INT AS version FROM (SELECT run_dir, log_name, log_file, min(file_seq) AS file_seq FROM receipt_lines GROUP BY ALL)),
-cell AS (SELECT v.log_file, v.line_no, coalesce(m.canon, CASE WHEN v.k IN (SELECT canon FROM moved x WHERE x.log_file = v.log_file) THEN '?' || v.k ELSE v.k END) AS name, CASE WHEN t IS NULL THEN NULL WHEN t = 'string' THEN json_extract_string(val, '$') ELSE val END AS value FROM v LEFT JOIN moved m ON m.log_file = v.log_file AND m.name = v.k),
-one AS (SELECT log_file, line_no, map_from_entries(list({'k': name, 'v': value} ORDER BY name)) AS fields FROM cell GROUP BY ALL)
-SELECT log_file, line_no, version, fields['id'] AS id, fields['archive_sha256'] AS archive_sha256, fields['lr_idx'] AS lr_idx, fields['bits_per_byte'] AS bits_per_byte, fields['parent_source'] AS parent_source, cardinality(fields)::INT AS n_fields, fields FROM one JOIN ver USING (log_file)"""
+ver AS (SELECT run_dir, log_name, log_file, row_number() OVER w AS place, (1 + sum(log_file IN (SELECT log_file FROM c)) OVER w)::INT AS version FROM (SELECT run_dir, log_name, log_file, min(file_seq) AS file_seq FROM receipt_lines GROUP BY ALL) WINDOW w AS (PARTITION BY run_dir, log_name ORDER BY file_seq, log_file)),
+cell AS MATERIALIZED (SELECT v.log_file, v.line_no, v.k, v.t, coalesce(m.canon, CASE WHEN v.k IN (SELECT canon FROM moved x WHERE x.log_file = v.log_file) THEN '?' || v.k ELSE v.k END) AS name, CASE WHEN t IS NULL THEN NULL WHEN t = 'string' THEN json_extract_string(val, '$') ELSE val END AS raw, CASE WHEN t = 'array' AND json_array_length(val) = 1 THEN json_extract_string(val, '$[0]')
+WHEN t = 'object' THEN coalesce(json_extract_string(val, '$.value'), val) WHEN t = 'string' THEN json_extract_string(val, '$') WHEN t IS NOT NULL THEN val END AS value FROM v LEFT JOIN moved m ON m.log_file = v.log_file AND m.name = v.k)
+"""
+)
+_OWN = ", ".join(f"'{k}'" for k in RECEIPT_TYPES)
+_CAN = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(k) for k, u in RECEIPT_TYPES.items() if u == t)}) THEN TRY_CAST(trim(value) AS {t.upper()}) IS NULL AND value IS NOT NULL" for t in ("bigint", "double", "boolean")) + " ELSE false END"
+_P3U = (
+    _P3N
+    + f", x AS (SELECT *, name NOT IN ({_OWN}) OR {_CAN} OR raw LIKE '{{%' AS kept FROM cell) SELECT log_file, line_no, any_value(version) AS version, "
+    + ", ".join(f"max(value) FILTER (name = '{k}') AS {k}" if t == "string" else f"TRY_CAST(trim(max(value) FILTER (name = '{k}')) AS {t.upper()}) AS {k}" for k, t in RECEIPT_TYPES.items())
+    + ", coalesce(string_agg(name || '=' || coalesce(raw, ''), chr(10) ORDER BY name || '=' || coalesce(raw, '')) FILTER (coalesce(kept, false)), '') AS rest FROM x JOIN ver USING (log_file) GROUP BY log_file, line_no"
+)
+_NATURAL = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(k) for k, u in RECEIPT_TYPES.items() if drift._NATURAL[u] == t)}) THEN '{t}'" for t in ("number", "boolean")) + " ELSE 'string' END"
+_P3S = (
+    _P3N
+    + f""", known AS (SELECT DISTINCT g.log_file, g.version, b.canon AS name FROM born b JOIN ver h ON h.log_file = b.log_file JOIN ver g ON g.run_dir = h.run_dir AND g.log_name = h.log_name AND g.place >= h.place),
+have AS (SELECT log_file, name, count(*) AS c FROM cell GROUP BY ALL)
+SELECT log_file, version, 'rename' AS step, k AS field, name, NULL::VARCHAR AS from_type, count(*) AS n FROM cell JOIN ver USING (log_file) WHERE k != name GROUP BY ALL
+UNION ALL SELECT log_file, version, 'cast', k, name, t, count(*) FROM cell JOIN ver USING (log_file) WHERE t != {_NATURAL} GROUP BY ALL
+UNION ALL SELECT log_file, version, 'default', NULL, name, NULL, n.n - coalesce(c, 0) FROM known JOIN n USING (log_file) LEFT JOIN have USING (log_file, name) WHERE n.n > coalesce(c, 0)"""
 )
 
 #: The same splitting by matching quoted runs, delimiters and plain runs in turn.
@@ -185,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT corpus, (row_number() OVER (PARTITION BY corpus ORDER BY size, tune, log_pos))::INT AS place, log_pos FROM t WHERE copy = 1 AND size > 0 AND tune IS NOT NULL QUALIFY place <= 5""",
         "p3_found": _P3,
         "p3_unified": _P3U,
+        "p3_steps": _P3S,
         "p4_found": _P4,
         "p5_found": _P5,
         "p5_tree": _P5.replace("SELECT id AS root_id, id, 0 AS depth FROM", "SELECT id AS root_id, id, 0 AS depth, id AS path FROM").replace("up.depth + 1 FROM", "up.depth + 1, up.path || ' > ' || e.id FROM").split("SELECT id, root_id, depth::INT")[0]
@@ -197,4 +227,4 @@ SELECT ancestor_id, id, steps::INT AS steps FROM pairs UNION ALL SELECT here, id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p3_found, p3_unified, p4_found, p5_found, p5_tree, p5_descendants, p5_all_descendants)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p3_found, p3_unified, p3_steps, p4_found, p5_found, p5_tree, p5_descendants, p5_all_descendants)}

@@ -106,12 +106,47 @@ def test_empty(spark):
     assert run(spark, []) == set()
 
 
+TYPED = {"id": "string", "archive_sha256": "string", "u": "bigint", "v": "double", "w": "boolean"}
+
+
+def unify(spark, rows, types=TYPED):
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = drift.profile(df)
+    rules = drift.migrations(known, drift.schema_changes(known))
+    steps = {(r.log_file, r.step, r.field, r.name, r.from_type): r.n for r in drift.applied_steps(known, rules, types).collect()}
+    return drift.unified(df, rules, types).collect(), steps
+
+
 def test_unified_follows_renames(spark):
     rows = make(11)
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = drift.unified(df, drift.schema_changes(df)).collect()
+    got, steps = unify(spark, rows)
     objects = [json.loads(x[5]) for x in rows if x[5] and x[5].startswith("{") and x[5].endswith("}") and len(x[5]) > 1]
     assert len(got) == len(objects)
-    assert {r.fields["id"] for r in got if r.fields["id"]} == {o["id"] for o in objects if o["id"]}
-    bases = {k.rstrip("0123456789") for r in got for k in r.fields if not k.startswith("n")}
-    assert bases <= {"id", "archive_sha256", "archive_sha", "u", "v", "w", "?u", "?v", "?w"}
+    assert {r.id for r in got if r.id} == {o["id"] for o in objects if o["id"]}
+    names = {x.split("=")[0] for r in got for x in r.rest.split("\n") if x and x[0] != "n"}
+    assert names <= {"u", "v", "w", "?u", "?v", "?w"}
+    flat = lambda v: v[0] if isinstance(v, list) else v["value"] if isinstance(v, dict) else v
+    for f in {x[2] for x in rows}:  # under whatever name, no value of u is lost
+        want = sorted(int(flat(v)) for x in rows if x[2] == f and x[5] and x[5][:2] == '{"' and x[5][-1] == "}" for k, v in json.loads(x[5]).items() if k.rstrip("0123456789") == "u" and v is not None)
+        assert sorted(r.u for r in got if r.log_file == f and r.u is not None) == want
+    assert any(k[1] == "rename" for k in steps) and any(k[1] == "cast" and k[3] in "uvw" for k in steps)
+
+
+def test_casts_defaults_and_clashes(spark):
+    line = lambda **k: json.dumps({"id": "1", "archive_sha256": "a"} | k)
+    rows = [
+        ("r", "l", "a", 1, 1, line(u=1, v="2.5", w="true")), ("r", "l", "b", 2, 1, line(x=1, v=[2.5], w=True)), ("r", "l", "b", 2, 2, '{"u": 7, "x": 9, "id": null}'),
+        ("r", "l", "b", 2, 3, '{"x": {"value": "5", "unit": "s"}, "v": "n/a", "?u": 1}'), ("r", "l", "b", 2, 4, "{}"), ("r", "l", "b", 2, 5, "broken"), ("r", "l", "b", 2, 6, '{"v": [], "x": " 12 "}'),
+    ]
+    got, steps = unify(spark, rows)
+    rows = {(r.log_file, r.line_no): (r.version, r.id, r.u, r.v, r.w, r.rest) for r in got}
+    assert rows["a", 1] == (1, "1", 1, 2.5, True, "") and rows["b", 1] == (2, "1", 1, 2.5, True, "")
+    assert rows["b", 2] == (2, None, 9, None, None, "?u=7")
+    assert rows["b", 3] == (2, None, 5, None, None, '?u=1\nu={"unit":"s","value":"5"}\nv=n/a')
+    assert rows["b", 4] == (2, None, None, None, None, "") and rows["b", 6] == (2, None, 12, None, None, "") and len(rows) == 6
+    assert steps["b", "rename", "x", "u", None] == 4 and steps["b", "cast", "v", "v", "array"] == 2 and steps["b", "cast", "x", "u", "object"] == 1
+    assert steps["b", "default", None, "w", None] == 4 and ("b", "default", None, "v", None) in steps
+
+
+def test_unified_of_nothing(spark):
+    assert unify(spark, []) == ([], {})
