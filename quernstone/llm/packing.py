@@ -27,16 +27,25 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, sou
     residual; a bit set of the residuals in use gives the next larger one, and the search goes on
     until a compatible bin is found, else a bin is opened. Each bin carries bitmaps of its sources
     and clusters. An item larger than the capacity fills
-    bins of its own and only its rest is placed. A source or cluster with more members than half
-    the least number of bins is not kept apart, as that would cost bins; nor are null ones. Items
-    of size 0 go to the fullest bin.
+    bins of its own and only its rest is placed. A class of more members than the least number of
+    bins can't be kept apart: it is dealt out over as few parts as that number allows, and a bin
+    takes at most one member of each part, so that the members spread evenly. Null sources and
+    clusters are no classes. Items of size 0 go to the fullest bin.
     """
-    least = max(1, -(-sum(sizes) // capacity))
+    least = max(1, -(-sum((s - 1) % capacity + 1 for s in sizes if s) // capacity))  # of the rests
 
     def bits(values: list) -> list[int]:
-        many = {v: n for v, n in Counter(values).items() if v is not None and v == v and 1 < n <= max(2, least // 2)}
-        index = {v: k for k, v in enumerate(many)}
-        return [1 << index[v] if v in index else 0 for v in values]
+        count = Counter(v for v, s in zip(values, sizes, strict=True) if s and v is not None and v == v)
+        first, parts, seen = {}, {v: -(-n // least) for v, n in count.items() if n > 1}, Counter()
+        at = 0
+        for v, n in parts.items():
+            first[v], at = at, at + n
+        out = []
+        for k in sorted(range(len(values)), key=lambda k: (-sizes[k], k)):
+            v = values[k]
+            out.append((k, 1 << first[v] + seen[v] % parts[v] if v in first and sizes[k] else 0))
+            seen[v] += 1
+        return [b for _, b in sorted(out)]
 
     source_bits, cluster_bits = bits(sources), bits(clusters)
     out: list[list[tuple[int, int, int]]] = [[] for _ in sizes]
@@ -124,8 +133,8 @@ def pack(items: DataFrame, key: str, size: str, source: str | None = None, clust
 
 
 def pack_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, capacity: int = CAPACITY, sources_apart: bool = False, vocabulary: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
-    """Containers for documents sized in tokens; copies of a text are kept apart (as far as that
-    costs no containers), documents of one source too with `sources_apart`. Columns: key, part, container, start, size in tokens."""
+    """Containers for documents sized in tokens; copies of a text are kept apart (or, if
+    they are more than the containers, spread evenly), documents of one source too with `sources_apart`. Columns: key, part, container, start, size in tokens."""
     marked = documents.select(key, text, F.col(source).alias("source_"), F.xxhash64(F.nullif(text, F.lit(""))).alias("hash_"))
     marked = marked.withColumn("cluster_", F.when(F.length(text) > 0, F.col("hash_"))).drop("hash_")
     sized = bpe.count_tokens(marked, key, text, keep=("source_", "cluster_"), vocabulary=vocabulary, folder=folder)

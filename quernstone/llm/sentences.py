@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents whose candidates the classifier is fitted on: those with the smallest id hashes.
+#: Documents whose candidates the classifier is fitted on, at most: those with the smallest id hashes.
 SAMPLE_DOCS = 2_500
 #: Entries after which a worker's cache is emptied; it changes speed only.
 CACHE_ENTRIES = 200_000
@@ -31,7 +31,8 @@ _REGION = re.compile(r"^[ \t\ufeff\u200b]*(\{\{|\{\||<!--|&lt;!--)", re.M)
 _BRACES = re.compile(r"\{\{|\}\}")
 _TAGS = re.compile(r"\s*(?:</?[A-Za-z][^<>]*>\s*)+\Z")
 _HEADING = re.compile(r"=+[^=].*=\s*\Z")
-_CATEGORY = re.compile(r"\[\[\s*(?:category|kategorie|catégorie|categoría|категория)\s*:", re.I)
+#: A line of nothing but links into a namespace (categories, in any language) isn't prose.
+_NAMESPACED = re.compile(r"(?:\[\[[^\[\]|:\n]+:[^\[\]\n]*\]\]\s*)+\Z")
 _ITEM = re.compile(r"[*#:;]+")
 _REFS = re.compile(r"<ref\b[^<>]*/\s*>|<ref\b[^<>]*>.*?</ref\s*>|&lt;ref\b(?:(?!&gt;).)*?/\s*&gt;|&lt;ref\b(?:(?!&gt;).)*&gt;.*?&lt;/ref\s*&gt;", re.S | re.I)
 _DECOR = re.compile(r"'{2,}|</?[A-Za-z][^<>]*>")
@@ -106,7 +107,7 @@ def blocks(text: str) -> tuple[str, list[tuple[int, int]]]:
                 if not skip:
                     start, stop = begin, b
                 continue
-            skip = not bare or lead == "=" and _HEADING.match(bare) or bare.startswith("--") or lead == "[" and _CATEGORY.match(bare) or lead == "<" and _TAGS.match(bare)
+            skip = not bare or lead == "=" and _HEADING.match(bare) or bare.startswith("--") or lead == "[" and _NAMESPACED.match(bare) or lead == "<" and _TAGS.match(bare)
             if skip or lead in "*#:;" and (mark := _ITEM.match(bare)):
                 if start >= 0:
                     out.append((start, stop))
@@ -295,37 +296,59 @@ class _Words(dict):
         if n == 1:
             return core.lower(), f"{lead}{case}1", script
         rest = ("U" if core[1:].isupper() else "l") if case == "U" else ""
-        return core.lower()[:14], f"{lead}{case}{rest}{min(n, 5)}{'.' if '.' in core else ''}", script
+        return core.lower(), f"{lead}{case}{rest}{min(n, 5)}{'.' if '.' in core else ''}", script
 
 
 _words = _Words()
-_CUT = re.compile(r"[^\s、，。：；！？「“（]{0,14}.?")
-
-
-def context(s: str, start: int, cand: tuple[int, int, int, int, str], after: str) -> tuple:
-    """What the classifier sees of a candidate end of the sentence that begins at start."""
+_CUT = re.compile(r"[^\s、，。：；！？「“（]*.?")
+
+
+def _left(s: str, start: int, i: int) -> tuple[str, list[str]]:
+    """The end of s[start:i], and after its last two words if it ends within them; looked at in
+    growing stretches, so that the words are whole however long they are."""
+    size = 48
+    while True:
+        left = s[i - size if i - size > start else start : i]
+        words = left.rsplit(None, 2)
+        if len(words) > 2 or i - size <= start:
+            return left, words
+        size *= 4
+
+
+def _right(s: str, at: int, n: int) -> list[str]:
+    """The first n words from a place on, whole, in the same way."""
+    size = 60
+    while True:
+        words = s[at : at + size].split(None, n)
+        if len(words) > n or at + size >= len(s):
+            return words[:n]
+        size *= 4
+
+
+def context(s: str, start: int, cand: tuple[int, int, int, int, str], t: str, at: int) -> tuple:
+    """What the classifier sees of a candidate end of the sentence that begins at start; what
+    follows begins at a place of t."""
     i, e, _, opened, kind = cand
     run = s[i] if e == i + 1 else _ALL.match(s, i)[0]
-    left = s[i - 48 if i - 48 > start else start : i]
-    words = left.rsplit(None, 2)
+    left, words = _left(s, start, i)
     spaced = left[-1:].isspace()
     p = words[-1] if words and not spaced else ""
     p2 = words[-2] if len(words) > 1 else ""
     if p and _wide(p[-1]):
         p2, p = p[-4:-2], p[-2:]
-    if after[:1] == _NIL:
-        after = after.lstrip(_NIL)
+    while t[at : at + 1] == _NIL:
+        at += 1
     how, bag = "", ()
-    if after and _wide(after[0]):
-        n = after[:2]
+    if at < len(t) and _wide(t[at]):
+        n = t[at : at + 2]
         if kind == "q":
-            cut = _CUT.match(after.replace(_NIL, ""))[0]
+            cut = _CUT.match(t, at)[0].replace(_NIL, "")
             bag = (cut[-2:], cut[-1:])
     else:
-        ahead = after.split(None, 5 if kind == "q" else 1)
+        ahead = _right(t, at, 5 if kind == "q" else 1)
         n = ahead[0] if ahead else ""
         if kind == "q":
-            bag = tuple(w.lower() for w in ahead[:5])
+            bag = tuple(w.lower() for w in ahead)
     if kind != "m":
         intro = s[start:opened].strip(_EDGE + _NIL)
         how = "0" if not intro else intro[-1] if intro[-1] in ":：,，،" else "i"
@@ -430,15 +453,15 @@ def training_rows(text: str | None) -> list[tuple[tuple, int]]:
             if c[4] == "b" and s[start : c[3]].strip(_EDGE + _NIL):
                 continue
             if c[2] < len(s):
-                ctx = context(s, start, c, s[c[2] : c[2] + 200])
+                ctx = context(s, start, c, s, c[2])
                 out.append((ctx, 0))
                 nw = s[c[2] : c[2] + 1]
                 if ctx[0] != "." or nw.isupper() and len(ctx[1]) > 3:  # where the next one may begin
                     start = c[2]
             elif k + 1 < len(shades):
-                after = shades[k + 1].lstrip(_EDGE)[:200]
+                after = shades[k + 1].lstrip(_EDGE)
                 if after:
-                    out.append((context(s, start, c, after), 1))
+                    out.append((context(s, start, c, after, 0), 1))
     return out
 
 
@@ -465,7 +488,7 @@ def split(text: str | None, model: Boundaries | None) -> list[tuple[int, int]]:
                 continue
             if kind == "b" and s[start:opened].strip(_EDGE + _NIL):
                 continue
-            if kind == "t" or model is None or model.is_end(context(s, start, c, s[n : n + (60 if s[n] != _NIL else 300)])):
+            if kind == "t" or model is None or model.is_end(context(s, start, c, s, n)):
                 if e > start:
                     out.append((a + start, a + e))
                 start = _skip(s, n)
@@ -487,9 +510,15 @@ def _skip(s: str, i: int) -> int:
 
 
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", *, sample: int = SAMPLE_DOCS) -> Boundaries:
-    """The classifier, fitted on the candidates of the `sample` documents with the smallest hashes
-    of their keys. The bound keeps what reaches the driver independent of the corpus."""
-    rows = documents.filter(F.col(text) != "").select(F.col(text).alias("t"), F.xxhash64(key).alias("h")).orderBy("h", F.xxhash64("t")).limit(sample)
+    """The classifier, fitted on the candidates of at most `sample` documents: those whose hashes of
+    the key lie under a threshold that the number of rows sets, the smallest first; of rows with the same
+    hash one counts. So a partition hands on its share of the sample only, and neither the one
+    fitting task nor the driver grows with the corpus."""
+    n = documents.count()
+    share = min(1.0, (sample + 8 * sample**0.5 + 8) / max(n, 1))
+    h = F.xxhash64(key)
+    rows = documents.filter(F.col(text) != "").filter(h <= int(-(2.0**63) + share * (2.0**64 - 4096))).select(F.col(text).alias("t"), h.alias("h"))
+    rows = rows.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [r for b in batches for t in b.column(0).to_pylist() for r in training_rows(t)]

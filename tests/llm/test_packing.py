@@ -44,6 +44,18 @@ def test_sources_apart_and_hot_source():
     assert len(load) == 5
 
 
+def test_large_clusters_are_spread():
+    # more copies than half the bins: still apart
+    _, load, members = check([60] * 7 + [80] * 8, [None] * 15, ["c"] * 7 + [None] * 8, 100)
+    assert all(sum(k < 7 for k in m) <= 1 for m in members.values())
+    # 30 copies and at least 12 bins: at most three in one
+    _, load, members = check([20] * 30 + [60] * 10, [None] * 40, ["c"] * 30 + [None] * 10, 100)
+    assert all(sum(k < 30 for k in m) <= 3 for m in members.values()) and len(load) <= 14
+    # copies larger than a bin: their rests count
+    _, _, members = check([150] * 3 + [50] * 3, [None] * 6, ["c"] * 3 + [None] * 3, 100)
+    assert all(sum(k < 3 for k in m) <= 1 for m in members.values())
+
+
 def test_little_space_is_lost():
     rnd = random.Random(3)
     sizes = [rnd.randint(1, 700) for _ in range(3000)]

@@ -87,6 +87,29 @@ def test_long_text(model):
     S.split("{{" * 3000 + "a.b " * 3000, model)
 
 
+def test_words_are_seen_whole():
+    long = "a" * 500
+    c = S.candidates(f"It kept {long} {long}b. {long}c kept it. ")[0]
+    s = f"It kept {long} {long}b. {long}c kept it. "
+    ctx = S.context(s, 0, c, s, c[2])
+    assert ctx[1:4] == (long + "b", long, long + "c")
+    assert S._words[long + "b"][0] == long + "b"
+    q = f'“{long} kept it!” said {long}d and {long}e left {long}f. '
+    c = S.candidates(q)[0]
+    assert S.context(q, 0, c, q, c[2])[-1] == ("said", long + "d", "and", long + "e", "left")
+
+
+def test_lines_of_namespace_links(model):
+    assert parts("It kept it.\n[[Luokka:X. Y.]] [[หมวดหมู่:Z. W.|a]]\nIt [[a:b. c]] lost it.", model) == ["It kept it.", "It [[a:b. c]] lost it."]
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.range(5000).selectExpr("id % 7 AS doc_id", "'It kept it. It lost it.' AS text")
+    assert S.fit(docs, sample=3).weights is not None
+    few = spark.range(50).selectExpr("id AS doc_id", "concat('It kept ', id, ' gates.\n\nIt lost it.') AS text")
+    assert S.fit(few, sample=2500).weights == S.fit(few, sample=50).weights
+
+
 def test_held_out_paragraph_ends(spark):
     """Joined by a blank, paragraphs must come apart at their old ends: held-out accuracy."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
