@@ -67,6 +67,25 @@ def fnv1a_int(word: str) -> int:
     return h
 
 
+def context_hash(data: Column) -> Column:
+    """Upper 32 bits of a multiplicative hash of binary data, as a context's number."""
+    return F.shiftrightunsigned(F.aggregate(_bytes(data), F.lit(wrap(GOLDEN)), lambda h, b: multiply(h.bitwiseXOR(b), GOLDEN)), 32)
+
+
+def word_fold(data: Column) -> Column:
+    """The running hash of a word's bytes."""
+    return F.aggregate(_bytes(data), F.lit(0).cast("bigint"), lambda h, b: multiply(h, GOLDEN).bitwiseXOR(b.bitwiseOR(F.lit(256))))
+
+
+def _bytes(data: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("bigint"))
+
+
 def unsigned_order(x: Column) -> Column:
     """Signed number whose order is the unsigned order of x."""
     return x.bitwiseXOR(F.lit(wrap(1 << 63)))
+
+
+def unsigned_text(x: Column) -> Column:
+    """The unsigned number with the bits of x, in decimal digits."""
+    return F.conv(F.hex(x), 16, 10)

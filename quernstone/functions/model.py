@@ -296,7 +296,7 @@ def train_corrector(rows: Iterable[tuple[list[int], int, int]], hidden: int = 8,
             b1[j] = max(-4.0, min(4.0, b1[j] + back))
             w1[j] = [max(-4.0, min(4.0, a + back * v)) for a, v in zip(w1[j], x, strict=True)]
         b2 = max(-4.0, min(4.0, b2 + g))
-    r = lambda v: int(round(v * 256))
+    r = lambda v: int(abs(v) * 256 + 0.5) * (1 if v >= 0 else -1)  # halves away from zero
     return [[r(a) for a in row] for row in w1], [r(b) for b in b1], [r(a) for a in w2], r(b2), loss / max(n, 1)
 
 

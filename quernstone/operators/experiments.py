@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.hashing import splitmix64_int
-from quernstone.functions.numbers import digits
+from quernstone.functions.numbers import digits, name_key
 
 #: Learning rates of the low half of a tune.
 MIXER_RATES = [12, 4, 6, 8, 10, 16, 20, 24, 32, 40, 48, 64, 96, 128, 192, 256]
 #: Adaptation rates of the experts of the accepted configuration.
 ACCEPTED_RATES = [2, 2, 1, 2, 2, 2, 2, 3, 3, 3, 2, 3, 4, 5]
+#: Calibration rates of the high half of a tune.
+APM_RATES = [(7, 7, 7), (6, 6, 6), (5, 5, 5), (8, 8, 8), (6, 6, 5), (6, 5, 6), (5, 6, 6), (6, 6, 7), (6, 7, 6), (7, 6, 6), (5, 5, 6), (5, 6, 5), (6, 5, 5), (4, 5, 5), (5, 4, 5), (5, 5, 4)]
 #: The largest table scale that the high half of a tune may ask for.
 MAX_SCALE = 3
 
 
-def trials(receipts: DataFrame) -> DataFrame:
+def trials(receipts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """method, corpus, corpus_sha, tune, archive_bytes, wall_ms, exact, log_pos of search receipts:
     those attributed to the search with a readable tune in 0..255 and size; others are dropped.
     wall_ms truncates and defaults to 0, exact to false."""
     r = receipts.filter("attribution = 'search/tune'").select(
         "method", "corpus", F.col("input_sha256").alias("corpus_sha"), digits(F.col("tune")).alias("tune"), digits(F.col("archive_bytes")).alias("archive_bytes"),
-        F.floor(F.coalesce(F.col("wall_seconds").try_cast("double"), F.lit(0.0)) * 1000).cast("bigint").alias("wall_ms"), F.coalesce(F.col("exact") == "true", F.lit(False)).alias("exact"), "log_pos",
+        F.floor(F.coalesce(F.col("wall_seconds").try_cast("double"), F.lit(0.0)) * 1000).cast("bigint").alias("wall_ms"), F.coalesce(F.col("exact") == "true", F.lit(False)).alias("exact"), "log_pos", *keep,
     )
     return r.filter("tune BETWEEN 0 AND 255 AND archive_bytes IS NOT NULL").withColumn("tune", F.col("tune").cast("int"))
 
@@ -73,6 +75,32 @@ def against_parent(gates: DataFrame) -> DataFrame:
     return g.select("log_pos", "id", "bytes", "parent_bytes", delta.alias("delta"), F.when(delta < 0, "smaller").when(delta > 0, "larger").otherwise("equal").alias("change"))
 
 
+def against_runs(t: DataFrame) -> DataFrame:
+    """The smallest archive of each (method, parent, corpus, tune) against that of the parent method
+    at the same corpus and tune, with the change in bytes and percent; runs without one are left out."""
+    base = t.groupBy("method", "corpus", "tune").agg(F.min("archive_bytes").alias("parent_bytes")).filter("parent_bytes > 0").withColumnRenamed("method", "parent")
+    own = t.withColumn("parent", name_key(F.col("parent"))).filter("parent IS NOT NULL").groupBy("method", "parent", "corpus", "tune").agg(F.min("archive_bytes").alias("bytes"))
+    delta = F.col("bytes") - F.col("parent_bytes")
+    j = own.join(base, ["parent", "corpus", "tune"])
+    return j.select("method", "parent", "corpus", "tune", "bytes", "parent_bytes", delta.alias("delta"), F.round(F.lit(100.0) * delta / F.col("parent_bytes"), 4).alias("percent"), F.when(delta < 0, "smaller").when(delta > 0, "larger").otherwise("equal").alias("change"))
+
+
+def global_best(t: DataFrame) -> DataFrame:
+    """One row: the smallest archive and its tune (the smallest on ties); (0, 0) without trials."""
+    b = t.agg(F.min(F.struct("archive_bytes", "tune")).alias("b"))
+    return b.select(F.coalesce("b.archive_bytes", F.lit(0).cast("bigint")).alias("archive_bytes"), F.coalesce("b.tune", F.lit(0)).alias("tune"))
+
+
+def tune_dimension(spark: SparkSession) -> DataFrame:
+    """All 256 tunes with their learning rate and calibration rates."""
+    return spark.createDataFrame([(t, MIXER_RATES[t & 15], *APM_RATES[t >> 4]) for t in range(256)], "tune int, mixer_rate int, apm1 int, apm2 int, apm3 int")
+
+
+def floor_action(available: Column, floor: Column, waited: Column, patience: float = 600.0) -> Column:
+    """continue while there is enough, else sleep, or abort once the patience is used up."""
+    return F.when(available >= floor, "continue").when(waited >= patience, "abort").otherwise("sleep")
+
+
 def tune_parts(tune: Column) -> list[Column]:
     """Learning rate, table scale, and the neighbours of a tune along its low half (wrapping)."""
     rates = F.array(*[F.lit(x) for x in MIXER_RATES])
@@ -97,13 +125,21 @@ def size_literal(c: Column) -> Column:
 
 
 def human_bytes(b: Column) -> Column:
-    """Bytes in the largest fitting unit with two decimals."""
-    out = F.format_string("%d B", b.cast("bigint"))
-    for unit, size in (("KiB", 1 << 10), ("MiB", 1 << 20), ("GiB", 1 << 30)):
-        out = F.when(b >= size, F.format_string(f"%.2f {unit}", b / F.lit(float(size)))).otherwise(out)
+    """Bytes in the largest fitting unit, halves rounded to even."""
+    out = F.concat(b.cast("string"), F.lit(" B"))
+    for unit, size, places in (("KB", 1 << 10, 1), ("MB", 1 << 20, 1), ("GB", 1 << 30, 2)):
+        out = F.when(b >= size, F.format_string(f"%.{places}f {unit}", F.bround(b / F.lit(float(size)), places))).otherwise(out)
     return out
 
 
+def clock(seconds: Column) -> Column:
+    """Whole seconds as s, m and s, or h, m and s; none, negative and unreadable ones as 0s."""
+    s = F.floor(F.greatest(F.coalesce(F.when(~F.isnan(seconds), seconds), F.lit(0.0)), F.lit(0.0)))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    return F.when(s >= 3600, F.concat(h.cast("string"), F.lit("h"), two(m), F.lit("m"), two(r), F.lit("s"))).when(s >= 60, F.concat(F.floor(s / 60).cast("string"), F.lit("m"), two(r), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+
+
 def mutate(tune: int, seed: int, axes: int = 1) -> tuple[int, int]:
     """A seeded step along one half of a tune (the low one, with two axes either), by 1, 1, 2 or 4
     levels, wrapping at 16; and the next seed."""

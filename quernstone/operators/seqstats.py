@@ -134,3 +134,8 @@ def mlp_forward(features: Column, w1: list[list[int]], b1: list[int], w2: list[i
         z = F.aggregate(F.zip_with(features, F.array(*[F.lit(x) for x in row]), lambda a, b: a * b), F.lit(bias), lambda a, x: a + x)
         out = out + F.lit(w) * F.least(F.greatest(F.shiftright(z, 8), F.lit(-127)), F.lit(127))
     return F.least(F.greatest(F.shiftright(out, 8), F.lit(-1024)), F.lit(1024))
+
+
+def quantize(x: Column, scale: int = 256, top: int = 32767) -> Column:
+    """x as a whole multiple of 1 / scale, halves away from zero, clamped."""
+    return F.greatest(F.least(F.round(x * scale), F.lit(float(top))), F.lit(-float(top) - 1)).cast("int")

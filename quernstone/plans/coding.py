@@ -255,7 +255,12 @@ SELECT word, cnt, round(cnt * bits, 3) AS literal_bits, round(cnt * 2 * per, 3)
 def vocab_priced(spark, d):
     """The vocabulary by gain in bits: letters priced by an order-1 model over words, a reference and
     a definition at the mean bits per byte."""
-    c = tx.word_counts(table(spark, d, "documents"))
+    g = priced(tx.word_counts(table(spark, d, "documents"))).filter("gain > 0.001").orderBy(F.desc("gain"), "word").limit(255)
+    return g.select("word", "cnt", *[F.round(c, 3).alias(c) for c in ("literal_bits", "token_bits", "def_bits")])
+
+
+def priced(c: DataFrame) -> DataFrame:
+    """word, cnt, literal_bits, token_bits, def_bits, gain of all words of counts."""
     chars = c.select("word", "cnt", F.split(F.concat(F.lit(" "), "word"), "").alias("l"))
     pair = F.transform(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.struct(F.get("l", i).alias("a"), F.get("l", i + 1).alias("b")))
     p = chars.select("word", "cnt", F.explode(pair).alias("p")).select("word", "cnt", "p.a", "p.b")
@@ -264,8 +269,7 @@ def vocab_priced(spark, d):
     w = p.join(F.broadcast(cost), ["a", "b"]).groupBy("word", "cnt").agg(F.sum("bits").alias("bits"))
     mean = w.agg((F.sum(F.col("cnt") * F.col("bits")) / F.sum(F.col("cnt") * F.length("word"))).alias("per")).collect()[0].per or 0.0
     literal, token, entry = F.col("cnt") * F.col("bits"), F.col("cnt") * 2 * F.lit(mean), (F.length("word") + 1) * F.lit(mean)
-    g = w.withColumn("_gain", literal - token - entry).filter("_gain > 0.001").orderBy(F.desc("_gain"), "word").limit(255)
-    return g.select("word", "cnt", F.round(literal, 3).alias("literal_bits"), F.round(token, 3).alias("token_bits"), F.round(entry, 3).alias("def_bits"))
+    return w.select("word", "cnt", literal.alias("literal_bits"), token.alias("token_bits"), entry.alias("def_bits"), (literal - token - entry).alias("gain"))
 
 
 def queries() -> dict:

@@ -46,6 +46,16 @@ def stages(i: Column) -> dict[str, Column]:
         "grammar": F.when(i == 44, "pairs").when(i == 45, "pairs+mtf").when(i == 46, "maximal repeat").when(i == 47, "rule rank").when(i == 48, "first use").when(i == 49, "one shot"),
         "factors": i == 50,
         "stems": i == 37,
+        "base6": _between(i, (63, 68), (71, 87)),
+        "hoists": p4 | _between(i, (2, 10), (13, 14), (17, 18), (20, 36), (38, 43)),
+        "token_kind": F.when(i == 88, "front").when(i == 89, "second").when(i.isin(90, 91), "priced").when(i == 92, "affix").when(i == 93, "first use").when(i == 94, "subword")
+        .when(p4 | i.isin(16, 18) | _between(i, (21, 36), (38, 39)), "reversed").when(i.isin(15, 17), "words").when(i.isin(19, 20), "wide").when(i == 40, "phrase reversed").when(i == 41, "phrase").when(i == 42, "front coded").when(i == 43, "affix"),
+        "dist_match": i == 36,
+        "word_class": F.when(i == 38, True).when(i == 39, False),
+        "state_map": F.when(i == 51, True).when(i == 52, False),
+        "state_map_rep": i == 53,
+        "reorder_parent": F.when(i >= 73, 54),
+        "sse3": F.when((i == 54) | _between(i, (63, 68), (71, 87)), True).when(i == 55, False),
         "vocabulary": F.when(i == 91, "filter").when(i == 90, "rerank").otherwise("shipped"),
         "page_order": F.when(i >= 86, "full").otherwise(order),
         "corrector": i >= 86,
@@ -63,6 +73,13 @@ REGISTRY_SQL = (
     "CASE WHEN p4 THEN 8 WHEN id BETWEEN 21 AND 25 THEN [6, 8, 12, 16, 24][id - 20] END AS match2_min, CASE WHEN p4 OR id = 26 THEN '4/1' WHEN id = 27 THEN '6/1' WHEN id = 28 THEN '6/2' END AS sparse_tier, "
     "CASE WHEN id BETWEEN 29 AND 32 THEN id - 28 ELSE 0 END AS ring, CASE WHEN p4 OR id = 33 THEN true WHEN id = 34 THEN false END AS match_byte, "
     "['pairs', 'pairs+mtf', 'maximal repeat', 'rule rank', 'first use', 'one shot'][CASE WHEN id BETWEEN 44 AND 49 THEN id - 43 END] AS grammar, id = 50 AS factors, id = 37 AS stems, "
+    "name IN ('collision', 'collision-ctl', 'ppm', 'ppm-ctl', 'stem-model', 'stem-model-ctl', 'phase6', 'spine', 'residual', 'residual-ctl') OR name LIKE 'reorder-%' AS base6, "
+    "p4 OR name IN ('struct-hoist', 'info-inherit', 'info-unrelated', 'dist-match', 'column-case', 'column-case-mark') OR name LIKE 'alphabet-%' OR name LIKE 'column%' OR name LIKE 'long-match%' OR name LIKE 'sparse-match%' OR name LIKE 'rep-state%' OR name LIKE 'match-byte%' OR name LIKE 'word-class%' AS hoists, "
+    "CASE name WHEN 'residual-mtf' THEN 'front' WHEN 'residual-move-to-second' THEN 'second' WHEN 'residual-priced' THEN 'priced' WHEN 'residual-price-filter' THEN 'priced' WHEN 'residual-affix' THEN 'affix' WHEN 'residual-first-use' THEN 'first use' WHEN 'residual-subword' THEN 'subword' WHEN 'word-token' THEN 'words' WHEN 'column-word-token' THEN 'words' "
+    "WHEN 'word-token2' THEN 'wide' WHEN 'column-word-token2' THEN 'wide' WHEN 'column-word-token-phrase' THEN 'phrase reversed' WHEN 'column-word-token-phrase-freq' THEN 'phrase' WHEN 'column-word-token-front' THEN 'front coded' WHEN 'column-word-token-affix' THEN 'affix' "
+    "ELSE CASE WHEN p4 OR name IN ('word-token-reverse', 'column-word-token-reverse', 'dist-match') OR name LIKE 'long-match%' OR name LIKE 'sparse-match%' OR name LIKE 'rep-state%' OR name LIKE 'match-byte%' OR name LIKE 'word-class%' THEN 'reversed' END END AS token_kind, "
+    "name = 'dist-match' AS dist_match, CASE name WHEN 'word-class' THEN true WHEN 'word-class-const' THEN false END AS word_class, CASE name WHEN 'state-map' THEN true WHEN 'state-map-ctl' THEN false END AS state_map, name = 'state-map-rep' AS state_map_rep, CASE WHEN name LIKE 'reorder-%' OR name LIKE 'residual%' THEN 54 END AS reorder_parent, "
+    "CASE WHEN name = 'sse-3-ctl' THEN false WHEN name IN ('sse-3', 'collision', 'collision-ctl', 'ppm', 'ppm-ctl', 'stem-model', 'stem-model-ctl', 'phase6', 'spine', 'residual', 'residual-ctl') OR name LIKE 'reorder-%' THEN true END AS sse3, "
     "CASE id WHEN 91 THEN 'filter' WHEN 90 THEN 'rerank' ELSE 'shipped' END AS vocabulary, CASE WHEN id >= 86 THEN 'full' WHEN id BETWEEN 73 AND 85 THEN " + str(ORDERS) + "[id - 72] END AS page_order, id >= 86 AS corrector FROM p"
 )
 

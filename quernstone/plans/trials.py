@@ -9,6 +9,7 @@ from quernstone.functions.numbers import digits
 from quernstone.operators import experiments as ex
 from quernstone.operators import seqstats
 from quernstone.plans import methods
+from quernstone.sources.logs import FIELDS
 from quernstone.sources.tables import table
 
 _Q: dict = {}
@@ -172,7 +173,7 @@ def log_scan(t):
 
 
 _ESC = "replace(replace(replace(replace(replace(coalesce({0}, ''), '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
-_OUT = ["id", "hypothesis", "parent", "corpus", "decision", "notes"]
+_OUT = [c for c in FIELDS if c != "score_total"] + ["phase", "bits_per_byte", "parent_archive_bytes", "parent_exact"]
 
 
 @_query("phase6_receipts", "SELECT log_pos, '{' || " + " || ',' || ".join(f"'\"{c}\":\"' || {_ESC.format(c)} || '\"'" for c in _OUT) + " || '}' AS line FROM phase6_receipts")
