@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +17,7 @@ _TYPES = {"string": "STRING", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean"
 def records(lines: DataFrame) -> DataFrame:
     """The lines that hold a JSON object, with it as VARIANT `v`; broken lines, other JSON values,
     nulls and objects that repeat a key are no records."""
-    text = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    text = F.trim("line", F.lit(" \t\r\n"))
     whole = text.startswith("{") & text.endswith("}")
     return lines.withColumn("v", F.when(whole, F.try_parse_json("line"))).filter("v IS NOT NULL")
 
@@ -164,7 +165,8 @@ def migrations(known: Profile, changes: DataFrame) -> DataFrame:
     steps = changes.groupBy("log_file").agg(F.collect_list(F.struct("change_kind", "field", "new_field")).alias("steps"))
     first = known.files.filter("first").select("log_file").join(known.fields, "log_file").groupBy("log_file").agg(F.collect_set("field").alias("born"))
     events = known.files.join(steps, "log_file", "left").join(first, "log_file", "left").join(fingerprints(known.fields), "log_file", "left")
-    return events.select("run_dir", "log_name", "log_file", "file_seq", "steps", "born", "fingerprint").groupBy("run_dir", "log_name").applyInPandas(_fold, "log_file string, version int, fingerprint string, names map<string,string>, known array<string>")
+    events = events.select("run_dir", "log_name", "log_file", "file_seq", "steps", "born", "fingerprint").repartition("run_dir", "log_name").sortWithinPartitions("run_dir", "log_name", "file_seq", "log_file")
+    return events.mapInPandas(_fold, "log_file string, version int, fingerprint string, names map<string,string>, known array<string>")
 
 
 def _name(key: Column, names: Column, mark: Column) -> Column:
@@ -187,25 +189,26 @@ def unified(lines: DataFrame, rules: DataFrame, types: dict[str, str]) -> DataFr
     recs = records(lines.select("log_file", "line_no", "line")).join(maybe_broadcast(rules.select("log_file", "version", "names")), "log_file")
     recs = recs.withColumn("_m", F.try_variant_get("v", "$", "map<string,variant>"))
     mark = F.repeat(F.lit("?"), F.coalesce(F.array_max(F.transform(F.map_keys("_m"), lambda k: F.length(F.regexp_extract(k, r"^\?*", 0)))), F.lit(0)) + 1)
-    cells = recs.select("log_file", "line_no", "version", F.transform_keys("_m", lambda k, _: _name(k, F.col("names"), mark)).alias("_m"))
-    cells = cells.withColumns({"_raw": F.transform_values("_m", lambda _, x: _text(x)), "_value": F.transform_values("_m", lambda _, x: _text(_inner(x)))})
+    named = F.when(F.size("names") == 0, F.col("_m")).otherwise(F.transform_keys("_m", lambda k, _: _name(k, F.col("names"), mark)))
+    # what stands in a lambda is evaluated for every field, so nothing else does
+    cells = recs.select("log_file", "line_no", "version", named.alias("_m")).withColumn("_value", F.transform_values("_m", lambda _, x: _inner(x)))
     value = lambda k: F.element_at("_value", k)
+    raw = lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))
     typed = {k: value(k) if t == "string" else F.trim(value(k)).try_cast(t) for k, t in types.items()}
-    odd = F.array_compact(F.array(*[F.when(value(k).isNotNull() & typed[k].isNull(), k) for k, t in types.items() if t != "string"])) if set(types.values()) - {"string"} else F.array().cast("array<string>")
-    own = F.array(*[F.lit(k) for k in types]).cast("array<string>")
-    left = F.filter(F.map_entries("_raw"), lambda e: ~F.array_contains(own, e["key"]) | F.array_contains(odd, e["key"]) | e["value"].startswith("{"))
-    rest = F.array_join(F.array_sort(F.transform(left, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "\n")
+    left = F.map_entries(F.map_filter("_m", lambda k, x: ~k.isin(list(types)) | raw(x).startswith("{")))
+    left = F.transform(left, lambda e: F.concat(e["key"], F.lit("="), raw(e["value"])))
+    unread = [F.when(value(k).isNotNull() & typed[k].isNull() & ~raw(F.element_at("_m", k)).startswith("{"), F.concat(F.lit(f"{k}="), raw(F.element_at("_m", k)))) for k, t in types.items() if t != "string"]
+    rest = F.array_join(F.array_sort(F.concat(left, F.array_compact(F.array(*unread).cast("array<string>")))), "\n")
     return cells.select("log_file", "line_no", "version", *[c.alias(k) for k, c in typed.items()], rest.alias("rest"))
 
 
-def _text(x: Column) -> Column:
-    return F.when(F.schema_of_variant(x) != "VOID", F.coalesce(F.when(~F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(x, "$", "string")), F.to_json(x)))
-
-
 def _inner(x: Column) -> Column:
-    kind = F.schema_of_variant(x)
+    """The text of a value: of an array's only element, of an object's member `value`, else as it is."""
+    kind, text = F.schema_of_variant(x), F.try_variant_get(x, "$", "string")
     one = kind.startswith("ARRAY") & F.try_variant_get(x, "$[1]", "variant").isNull()
-    return F.when(one, F.try_variant_get(x, "$[0]", "variant")).when(kind.startswith("OBJECT"), F.coalesce(F.try_variant_get(x, "$.value", "variant"), x)).otherwise(x)
+    member = F.try_variant_get(x, "$.value", "variant")
+    nested = F.when(one, F.try_variant_get(x, "$[0]", "string")).when(kind.startswith("OBJECT") & member.isNotNull(), F.try_variant_get(member, "$", "string")).otherwise(text)
+    return F.when(F.substring(text, 1, 1).isin("[", "{"), nested).otherwise(text)
 
 
 def applied_steps(known: Profile, rules: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -230,27 +233,29 @@ def applied_steps(known: Profile, rules: DataFrame, types: dict[str, str]) -> Da
     return renames.unionByName(casts).unionByName(lacks).select("log_file", "version", "step", "field", "name", "from_type", "n")
 
 
-def _fold(events: pd.DataFrame) -> pd.DataFrame:
-    names: dict[str, str] = {}
-    seen: set[str] = set()
-    version, out = 1, []
-    for row in events.sort_values(["file_seq", "log_file"]).itertuples():
-        steps = [] if row.steps is None else list(row.steps)
-        version += bool(steps)
-        for f in row.born if row.born is not None else ():
-            seen.add(f)
-        renamed = {s["new_field"]: names.get(s["field"], s["field"]) for s in steps if s["change_kind"] == "renamed"}
-        for s in steps:
-            if s["change_kind"] in ("renamed", "removed"):
-                names.pop(s["field"], None)
-        names |= renamed
-        for s in steps:
-            if s["change_kind"] == "added":
-                name = s["new_field"]
-                while name in names.values():
-                    name = "?" + name
-                if name != s["new_field"]:
-                    names[s["new_field"]] = name
-                seen.add(name)
-        out.append((row.log_file, version, row.fingerprint, {k: v for k, v in names.items() if k != v}, sorted(seen)))
-    return pd.DataFrame(out, columns=["log_file", "version", "fingerprint", "names", "known"])
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rules of all files; rows come series by series, in the order of their files."""
+    series, names, seen, version = None, {}, set(), 1
+    for batch in batches:
+        out = []
+        for row in batch.itertuples():
+            if series != (row.run_dir, row.log_name):
+                series, names, seen, version = (row.run_dir, row.log_name), {}, set(), 1
+            steps = [] if row.steps is None else list(row.steps)
+            version += bool(steps)
+            seen.update(row.born if row.born is not None else ())
+            renamed = {s["new_field"]: names.get(s["field"], s["field"]) for s in steps if s["change_kind"] == "renamed"}
+            for s in steps:
+                if s["change_kind"] in ("renamed", "removed"):
+                    names.pop(s["field"], None)
+            names |= renamed
+            for s in steps:
+                if s["change_kind"] == "added":
+                    name = s["new_field"]
+                    while name in names.values():
+                        name = "?" + name
+                    if name != s["new_field"]:
+                        names[s["new_field"]] = name
+                    seen.add(name)
+            out.append((row.log_file, version, row.fingerprint, {k: v for k, v in names.items() if k != v}, sorted(seen)))
+        yield pd.DataFrame(out, columns=["log_file", "version", "fingerprint", "names", "known"])
