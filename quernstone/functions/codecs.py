@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from quernstone.functions.hashing import splitmix64_int
 from quernstone.operators.text import HOISTED, SUFFIXES
 
 _WORD = re.compile(rb"[A-Za-z]+")
@@ -83,6 +84,16 @@ def unpermute(data: bytes) -> bytes:
     return data[256:].translate(bytes(inverse))
 
 
+def permute_random(data: bytes, seed: int = 1) -> bytes:
+    """The control: an alphabet in an order that has nothing to do with the data."""
+    table, state = list(range(256)), seed
+    for i in range(255, 0, -1):
+        state = splitmix64_int(state)
+        j = state % (i + 1)
+        table[i], table[j] = table[j], table[i]
+    return bytes(table) + data.translate(bytes(table))
+
+
 # letter case -------------------------------------------------------------------------------------
 
 _CASED = re.compile(rb"[A-Za-z]+|[\x00-\x03]")
@@ -175,22 +186,24 @@ class _Ids:
     """A list of ids that may change with use: `static`, `front` or `second`."""
 
     def __init__(self, n: int, how: str):
-        self.order, self.how = list(range(n)), how
+        self.how = how
+        self.order = np.arange(n) if how != "static" else range(n)
 
     def rank(self, word: int) -> int:
-        r = self.order.index(word) if self.how != "static" else word
+        r = int((self.order == word).argmax()) if self.how != "static" else word
         self._use(r)
         return r
 
     def word(self, rank: int) -> int:
-        w = self.order[rank] if rank < len(self.order) else -1
+        w = int(self.order[rank]) if rank < len(self.order) else -1
         self._use(rank)
         return w
 
     def _use(self, rank: int) -> None:
         if self.how != "static" and 0 < rank < len(self.order):
-            w = self.order.pop(rank)
-            self.order.insert(0 if self.how == "front" or rank == 1 else 1, w)
+            to, w = 0 if self.how == "front" or rank == 1 else 1, self.order[rank]
+            self.order[to + 1 : rank + 1] = self.order[to:rank]
+            self.order[to] = w
 
 
 def tokenize(data: bytes, vocab: list[bytes] | None = None, *, how: str = "static", reverse: bool = False, blocked: Iterable[bytes] = ()) -> bytes:
@@ -266,12 +279,12 @@ def untokenize_first_use(data: bytes) -> bytes:
     return bytes(out)
 
 
-def tokenize_phrases(data: bytes) -> bytes:
+def tokenize_phrases(data: bytes, reverse: bool = False) -> bytes:
     """Words and one-space pairs; a pair is taken before its first word and uses up both."""
     runs = _RUNS.findall(data)
     counts = _words_of(data)
     counts.update(a + b" " + c for a, b, c in zip(runs, runs[1:], runs[2:], strict=False) if b == b" ")
-    vocab = vocabulary(counts)
+    vocab = vocabulary(counts)[:: -1 if reverse else 1]
     index, out, i = {w: k for k, w in enumerate(vocab)}, [_header(vocab)], 0
     while i < len(runs):
         pair = b"".join(runs[i : i + 3]) if i + 2 < len(runs) and runs[i + 1] == b" " and runs[i][:1].isalpha() else b""
@@ -620,6 +633,7 @@ def unfactor(data: bytes) -> bytes:
 TRANSFORMS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "hoist": (hoist, unhoist),
     "permute": (permute, unpermute),
+    "permute_random": (permute_random, unpermute),
     "case": (case_fold, case_unfold),
     "case_mark": (case_mark, case_unmark),
     "token": (tokenize, untokenize),
@@ -629,6 +643,7 @@ TRANSFORMS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]]
     "token_first_use": (tokenize_first_use, untokenize_first_use),
     "token_wide": (tokenize_wide, untokenize),
     "token_phrase": (tokenize_phrases, untokenize),
+    "token_phrase_reverse": (lambda d: tokenize_phrases(d, True), untokenize),
     "token_front_coded": (tokenize_front, untokenize_front),
     "token_affix": (tokenize_affix, untokenize_affix),
     "token_subword": (tokenize_subword, untokenize_subword),

@@ -1,221 +1,106 @@
-"""A small sequential coder: context experts, logistic mixing, calibration, a range coder, archives.
+"""Archives of the sequential coder, images, an order-0 coder, the learned corrector, match profiles.
 
-It is the one part that does not distribute within a stream; it distributes over streams. No Spark
-here; `udfs` wraps it. Integers only, so that encoder and decoder agree on any machine."""
+Coding does not distribute within a stream; it distributes over streams. No Spark here."""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable
-from dataclasses import dataclass, field
 
+import numpy as np
+
+from quernstone.functions import codecs, coder, pages
+from quernstone.functions.coder import STRETCH
 from quernstone.functions.hashing import splitmix64_int
-from quernstone.operators.experiments import ACCEPTED_RATES, MIXER_RATES
-from quernstone.operators.seqstats import SQUASH
-from quernstone.plans.methods import NAMES
-
-
-def squash(d: int) -> int:
-    if d > 2047:
-        return 4095
-    if d < -2047:
-        return 0
-    w, i = d & 127, (d >> 7) + 16
-    return (SQUASH[i] * (128 - w) + SQUASH[min(i + 1, 32)] * w + 64) >> 7
-
-
-def _stretch_table() -> list[int]:
-    table, at = [2047] * 4096, 0
-    for d in range(-2047, 2048):
-        p = squash(d)
-        for j in range(at, p + 1):
-            table[j] = d
-        at = max(at, p + 1)
-    return table
-
-
-STRETCH = _stretch_table()
-
-
-@dataclass
-class Config:
-    """Experts by kind with adaptation rates, the mixer's learning rate, and the stages in use."""
-
-    orders: tuple[int, ...] = (0, 1, 2, 3, 4, 6)
-    word: bool = True
-    pair: bool = True
-    column: bool = True
-    sparse: bool = False
-    match: int = 5
-    calibrate: bool = True
-    mixer_rate: int = 12
-    bits: int = 18
-    rates: dict[str, int] = field(default_factory=lambda: {**{f"o{k}": r for k, r in zip((0, 1, 2, 3, 4, 5, 6, 8, 12, 16), ACCEPTED_RATES, strict=False)}, "word": 2, "pair": 3, "column": 4, "sparse": 3})
-
-    @staticmethod
-    def tuned(tune: int, **kw) -> "Config":
-        """Learning rate from the low half of the tune, table scale (at most 3) from the high one."""
-        return Config(mixer_rate=MIXER_RATES[tune & 15], bits=15 + min(tune >> 4, 3), **kw)
-
-    def experts(self) -> list[str]:
-        return [f"o{k}" for k in self.orders] + [x for x in ("word", "pair", "column", "sparse") if getattr(self, x)]
-
-    def without(self, expert: str) -> "Config":
-        kw = {**self.__dict__}
-        if expert.startswith("o"):
-            kw["orders"] = tuple(k for k in self.orders if f"o{k}" != expert)
-        else:
-            kw[expert] = False
-        return Config(**kw)
-
-
-class Predictor:
-    """The probability of a one as the next bit, in 1/4096."""
-
-    def __init__(self, config: Config):
-        self.c, self.names = config, config.experts()
-        self.mask = (1 << config.bits) - 1
-        self.tables = [[32768] * (self.mask + 1) for _ in self.names]
-        self.shift = [config.rates.get(n, 4) for n in self.names]
-        n = len(self.names) + 1
-        self.weights = [[65536 // 3] * n for _ in range(256)]
-        self.calibration = [[(squash((j - 16) * 128) * 16) for j in range(33)] for _ in range(256)] if config.calibrate else None
-        self.history, self.seen = bytearray(), {}
-        self.word = self.before = self.line = self.above = 0
-        self.pointer, self.length, self.node = -1, 0, 1
-        self._contexts()
-
-    def _contexts(self) -> None:
-        h, out = self.history, []
-        for n in self.names:
-            if n[0] == "o":
-                k = int(n[1:])
-                x = int.from_bytes(h[-k:], "big") if k else 0
-                out.append(splitmix64_int(x * 31 + k))
-            elif n == "word":
-                out.append(splitmix64_int(self.word + 1 << 20))
-            elif n == "pair":
-                out.append(splitmix64_int(self.word * 31 + self.before))
-            elif n == "column":
-                col = len(h) - self.line
-                up = h[self.above + col] if self.above + col < self.line - 1 else 0
-                out.append(splitmix64_int(up << 8 | min(col, 255) | 1 << 30))
+from quernstone.functions.registry import NAMES, page_order, stages
+
+#: The accepted method and tune.
+ACCEPTED_METHOD, ACCEPTED_TUNE = 86, 51
+
+MAGIC, LONGEST = b"QRN2", 2_000_000_000
+
+
+def word_gains(streams: list[bytes], c: coder.Config) -> list[dict[bytes, float]]:
+    """Of every stream the gain in bits of its words as entries of a vocabulary: what the coder spends
+    on their letters, less a reference of two bytes for each use and a definition, at the mean price."""
+    out = []
+    for data, cost in zip(streams, coder.costs(streams, c), strict=True):
+        upto = np.concatenate([[0.0], np.cumsum(cost)])
+        spent: dict[bytes, float] = {}
+        for m in re.finditer(rb"[A-Za-z]+", data):
+            spent[m[0]] = spent.get(m[0], 0.0) + upto[m.end()] - upto[m.start()]
+        mean = upto[-1] / len(data) if data else 0.0
+        n = codecs._words_of(data)
+        out.append({w: b - mean * (2 * n[w] + len(w) + 1) for w, b in spent.items()})
+    return out
+
+
+def transformed(streams: list[bytes], method: int, tune: int) -> list[tuple[bool, bytes]]:
+    """The streams as the coder gets them after the stages of the method, and whether their pages were
+    put in another order (not where that couldn't be undone). Methods with a priced vocabulary code
+    the stream once more to learn the prices."""
+    how, out = page_order(method), []
+    for data in streams:
+        moved = pages.reorder(data, how) if how else None
+        out.append((moved is not None, data if moved is None else moved))
+    for stage in stages(method):
+        now = [x for _, x in out]
+        if stage in ("token_repriced", "token_paying"):
+            gains = word_gains(now, coder.for_method(method).tuned(tune))
+            if stage == "token_repriced":
+                lists = [[w for w, v in sorted(g.items(), key=lambda x: (-x[1], x[0])) if v > 0 and len(w) > 2][:255] for g in gains]
+                now = [codecs.tokenize(x, v) for x, v in zip(now, lists, strict=True)]
             else:
-                out.append(splitmix64_int(int.from_bytes(h[-4:-1], "big") | 1 << 40))
-        self.hashes = out
-
-    def p(self) -> int:
-        self.slots = [(x + self.node * 0x9E3779B1) & self.mask for x in self.hashes]
-        self.inputs = [STRETCH[t[s] >> 4] for t, s in zip(self.tables, self.slots, strict=True)]
-        self.expected = -1
-        if self.length and self.pointer >= 0:
-            byte = self.history[self.pointer] | 256
-            left = 8 - (self.node.bit_length() - 1)
-            if byte >> left == self.node:
-                self.expected = byte >> (left - 1) & 1
-        strength = min(self.length, 31) * 48
-        self.inputs.append(0 if self.expected < 0 else strength if self.expected else -strength)
-        self.w = self.weights[self.node & 255]
-        dot = sum(a * b for a, b in zip(self.w, self.inputs, strict=True)) >> 16
-        self.raw = squash(max(-2047, min(2047, dot)))
-        out = self.raw
-        if self.calibration:
-            d = STRETCH[self.raw] + 2048
-            self.row, self.cell, part = self.calibration[self.history[-1] if self.history else 0], d >> 7, d & 127
-            fine = (self.row[self.cell] * (128 - part) + self.row[min(self.cell + 1, 32)] * part) >> 11
-            out = (self.raw + 3 * fine + 2) >> 2
-        return max(1, min(4095, out))
-
-    def update(self, bit: int) -> None:
-        error = ((bit << 12) - self.raw) * self.c.mixer_rate
-        for k, x in enumerate(self.inputs):
-            self.w[k] += (x * error + 0x2000) >> 14
-        target = 65535 * bit
-        for t, s, r in zip(self.tables, self.slots, self.shift, strict=True):
-            t[s] = max(1, min(65535, t[s] + ((target - t[s]) >> r)))
-        if self.calibration:
-            for j in (self.cell, min(self.cell + 1, 32)):
-                self.row[j] += (target - self.row[j]) >> 6
-        self.node = self.node << 1 | bit
-        if self.node > 255:
-            self._byte(self.node & 255)
-            self.node = 1
-
-    def _byte(self, b: int) -> None:
-        h = self.history
-        if self.length and h[self.pointer] == b:
-            self.length, self.pointer = min(self.length + 1, 63), self.pointer + 1
+                shipped = [codecs.vocabulary(codecs._words_of(x))[::-1] for x in now]
+                now = [codecs.tokenize(x, v, blocked=[w for w in v if g.get(w, 0.0) <= 0]) for x, v, g in zip(now, shipped, gains, strict=True)]
         else:
-            self.length = 0
-        h.append(b)
-        low = b | 32
-        if 97 <= low <= 122 or b == 39:
-            self.word = (self.word * 271 + low) & 0xFFFFFFFF
-        elif self.word:
-            self.before, self.word = self.word, 0
-        if b == 10:
-            self.above, self.line = self.line, len(h)
-        if len(h) >= self.c.match:
-            key = bytes(h[-self.c.match :])
-            if not self.length and key in self.seen:
-                self.pointer, self.length = self.seen[key], 1
-            self.seen[key] = len(h)
-        self._contexts()
-
-
-def encode_bits(data: bytes, config: Config) -> tuple[bytes, float]:
-    """The code of data by a binary range coder of 12-bit probabilities, and its ideal bits."""
-    from math import log2
-
-    m, lo, hi, out, bits = Predictor(config), 0, 0xFFFFFFFF, bytearray(), 0.0
-    for byte in data:
-        for k in range(7, -1, -1):
-            bit, p = byte >> k & 1, m.p()
-            bits -= log2((p if bit else 4096 - p) / 4096)
-            mid = lo + ((hi - lo) >> 12) * p + (((hi - lo) & 4095) * p >> 12)
-            lo, hi = (lo, mid) if bit else (mid + 1, hi)
-            m.update(bit)
-            while not (lo ^ hi) >> 24:
-                out.append(hi >> 24)
-                lo, hi = lo << 8 & 0xFFFFFFFF, (hi << 8 & 0xFFFFFFFF) | 255
-    return bytes(out) + struct.pack(">I", lo + 1 if lo < hi else lo), bits
-
-
-def decode_bits(code: bytes, n: int, config: Config) -> bytes:
-    m, lo, hi, at = Predictor(config), 0, 0xFFFFFFFF, 4
-    x = int.from_bytes(code[:4].ljust(4, b"\0"), "big")
-    while len(m.history) < n:
-        p = m.p()
-        mid = lo + ((hi - lo) >> 12) * p + (((hi - lo) & 4095) * p >> 12)
-        bit = int(x <= mid)
-        lo, hi = (lo, mid) if bit else (mid + 1, hi)
-        m.update(bit)
-        while not (lo ^ hi) >> 24:
-            lo, hi = lo << 8 & 0xFFFFFFFF, (hi << 8 & 0xFFFFFFFF) | 255
-            x = (x << 8 & 0xFFFFFFFF) | (code[at] if at < len(code) else 0)
-            at += 1
-    return bytes(m.history)
+            now = [codecs.TRANSFORMS[stage][0](x) for x in now]
+        out = [(f, x) for (f, _), x in zip(out, now, strict=True)]
+    return out
 
 
-MAGIC, LONGEST = b"QRN1", 2_000_000_000
+def archives(streams: list[bytes], method: int = ACCEPTED_METHOD, tune: int = ACCEPTED_TUNE) -> list[bytes]:
+    """magic, method, tune, whether pages were reordered, length of the coded stream, code."""
+    ready = transformed(streams, method, tune)
+    codes = coder.encode([x for _, x in ready], coder.for_method(method).tuned(tune))
+    return [MAGIC + bytes([method, tune, moved]) + struct.pack("<Q", len(x)) + code for (moved, x), code in zip(ready, codes, strict=True)]
 
 
-def archive(data: bytes, method: int = 0, tune: int = 0) -> bytes:
-    """magic, method, tune, length, code."""
-    return MAGIC + bytes([method, tune]) + struct.pack("<Q", len(data)) + encode_bits(data, Config.tuned(tune))[0]
+def archive(data: bytes, method: int = ACCEPTED_METHOD, tune: int = ACCEPTED_TUNE) -> bytes:
+    return archives([data], method, tune)[0]
 
 
 def header(data: bytes) -> tuple[str, int, int] | None:
-    """Method name, tune and length of an archive; None if it isn't one."""
-    if len(data) < 14 or data[:4] != MAGIC or data[4] >= len(NAMES):
+    """Method name, tune and coded length of an archive; None if it isn't one."""
+    if len(data) < 15 or data[:4] != MAGIC or data[4] >= len(NAMES):
         return None
-    n = struct.unpack("<Q", data[6:14])[0]
+    n = struct.unpack("<Q", data[7:15])[0]
     return (NAMES[data[4]], data[5], n) if n <= LONGEST else None
 
 
+_BACK = {"token_repriced": codecs.untokenize, "token_paying": codecs.untokenize} | {k: u for k, (_, u) in codecs.TRANSFORMS.items()}
+
+
+def unarchives(archives_: list[bytes]) -> list[bytes | None]:
+    """What archives were made of, by the inverse stages of the method that each names; None for what
+    is no archive. Archives of one method and tune are decoded together."""
+    out: list[bytes | None] = [None] * len(archives_)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, x in enumerate(archives_):
+        if header(x) is not None:
+            groups.setdefault((x[4], x[5]), []).append(k)
+    for (method, tune), ks in groups.items():
+        plain = coder.decode([archives_[k][15:] for k in ks], [header(archives_[k])[2] for k in ks], coder.for_method(method).tuned(tune))
+        for k, x in zip(ks, plain, strict=True):
+            for stage in reversed(stages(method)):
+                x = _BACK[stage](x)
+            out[k] = pages.restore(x) if archives_[k][6] else x
+    return out
+
+
 def unarchive(data: bytes) -> bytes | None:
-    h = header(data)
-    return None if h is None else decode_bits(data[14:], h[2], Config.tuned(h[1]))
+    return unarchives([data])[0]
 
 
 def append_image(program: bytes, payload: bytes) -> bytes:
@@ -272,9 +157,9 @@ def rans_decode(code: bytes, n: int, freq: list[int], cum: list[int], bits: int
     return bytes(out)
 
 
-def train_corrector(rows: Iterable[tuple[list[int], int, int]], hidden: int = 8, rate: float = 0.02, seed: int = 1) -> tuple[list[list[int]], list[int], list[int], int, float]:
+def train_corrector(rows: Iterable[tuple[list[int], int, int]], hidden: int = 8, rate: float = 0.02, seed: int = 1) -> tuple[list[list[int]], list[int], list[int], int, float, float]:
     """Integer weights of a one-layer corrector, trained event by event on (features, p, bit): the
-    loss is that of the corrected probability. Returns the weights and the mean loss in bits."""
+    loss is that of the corrected probability. Returns the weights, the mean loss in bits and its moving average (0.00005 new)."""
     from math import exp, log2, tanh
 
     state, init = seed, []
@@ -282,13 +167,14 @@ def train_corrector(rows: Iterable[tuple[list[int], int, int]], hidden: int = 8,
         state = splitmix64_int(state)
         init.append((state % 2001 - 1000) / 10_000)
     w1 = [init[j * 12 : j * 12 + 12] for j in range(hidden)]
-    b1, w2, b2, loss, n = [0.0] * hidden, [0.0] * hidden, 0.0, 0.0, 0
+    b1, w2, b2, loss, n, smooth = [0.0] * hidden, [0.0] * hidden, 0.0, 0.0, 0, 1.0
     for f, p, bit in rows:
         x = [v / 32 for v in f]
         hid = [tanh(b + sum(a * v for a, v in zip(row, x, strict=True))) for row, b in zip(w1, b1, strict=True)]
         z = STRETCH[max(1, min(4095, p))] / 256 + b2 + sum(a * h for a, h in zip(w2, hid, strict=True))
         q = 1 / (1 + exp(-max(-30, min(30, z))))
-        loss, n = loss - log2(max(1e-6, q if bit else 1 - q)), n + 1
+        now = -log2(max(1e-6, q if bit else 1 - q))
+        loss, n, smooth = loss + now, n + 1, smooth + 0.00005 * (now - smooth)
         g = rate * (bit - q)
         for j, h in enumerate(hid):
             back = g * w2[j] * (1 - h * h)
@@ -297,7 +183,7 @@ def train_corrector(rows: Iterable[tuple[list[int], int, int]], hidden: int = 8,
             w1[j] = [max(-4.0, min(4.0, a + back * v)) for a, v in zip(w1[j], x, strict=True)]
         b2 = max(-4.0, min(4.0, b2 + g))
     r = lambda v: int(abs(v) * 256 + 0.5) * (1 if v >= 0 else -1)  # halves away from zero
-    return [[r(a) for a in row] for row in w1], [r(b) for b in b1], [r(a) for a in w2], r(b2), loss / max(n, 1)
+    return [[r(a) for a in row] for row in w1], [r(b) for b in b1], [r(a) for a in w2], r(b2), loss / max(n, 1), smooth
 
 
 def weights_bytes(w1: list[list[int]], b1: list[int], w2: list[int], b2: int) -> bytes:

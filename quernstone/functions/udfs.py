@@ -5,16 +5,15 @@ from __future__ import annotations
 import bz2
 import lzma
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
 from quernstone.functions import codecs, markup, model
-from quernstone.session import spread
+from quernstone.session import per_text  # noqa: F401
 
 try:
     import zstandard
@@ -52,18 +51,3 @@ def register(spark: SparkSession) -> list[str]:
     spark.udf.register("unarchive", bytes_udf(model.unarchive))
     spark.udtf.register("segment", segment_udtf())
     return [*names, "archive", "unarchive", "segment"]
-
-
-def per_text(documents: DataFrame, f: Callable[[bytes], list[tuple]], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, *f(text)) of every non-null text, whole, through Arrow."""
-    source = spread(documents.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text)))
-    names = [key, *(x.split()[0] for x in schema.split(", "))]
-    types = [None, *({"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", "))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, *r) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in f(t.encode())]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field(0).type if t is None else t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, {schema}")

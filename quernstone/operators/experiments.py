@@ -110,10 +110,12 @@ def tune_parts(tune: Column) -> list[Column]:
 
 
 def upper_median(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
-    """The element at n div 2 of the sorted values of each group, by ranks and counts."""
-    w = Window.partitionBy(by).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).select(by, value, F.row_number().over(w).alias("_r"), F.count("*").over(Window.partitionBy(by)).alias("_n"))
-    return ranked.filter("_r = _n div 2 + 1").select(by, F.col(value).alias(out))
+    """The element at n div 2 of the sorted values of each group: equal values are counted first, so
+    windows run over distinct ones."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(by)
+    ranked = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
+    return ranked.filter("_upto > _n div 2 AND _upto - _c <= _n div 2").select(by, F.col(value).alias(out))
 
 
 def size_literal(c: Column) -> Column:

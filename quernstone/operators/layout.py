@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import hashing
+from quernstone.session import TASK_ROWS, stage
 
 #: Namespaces of titles, in rank order; articles rank 0.
 NAMESPACES = ["Template", "Category", "Wikipedia", "Image", "User", "Help", "Portal", "MediaWiki", "Talk", "Media", "Special"]
@@ -76,9 +77,7 @@ def ordered(pages_: DataFrame, order: str) -> DataFrame:
 
 def rank_all(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows with `place`, their rank from 0 in a total order, by range partitions and prefix sums."""
-    from quernstone.session import stage
-
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
     ranged = stage(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -87,9 +86,10 @@ def rank_all(df: DataFrame, by: list[str]) -> DataFrame:
     return ranged.withColumn("_rn", rn).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_rn") - 1).drop("_part", "_rn", "_before")
 
 
-def permutation_bytes(n: int) -> Column:
-    """Bytes of an explicit permutation of n pages: ceil(sum of log2 i, / 8)."""
-    return F.ceil(F.aggregate(F.sequence(F.lit(2), F.lit(max(2, n))), F.lit(0.0), lambda a, i: a + F.log2(i)) / 8)
+def permutation_bytes(spark: SparkSession, n: int) -> int:
+    """Bytes of an explicit permutation of n pages: ceil(sum of log2 i, / 8), summed in parallel."""
+    bits = spark.range(2, max(2, n) + 1).agg(F.sum(F.log2(F.col("id").cast("double")))).first()[0] or 0.0
+    return -int(-bits // 8)
 
 
 def signatures(documents: DataFrame, k: int = 8) -> DataFrame:

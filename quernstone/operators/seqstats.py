@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators import text as tx
+from quernstone.session import per_text, spread
 
 
 def contexts(documents: DataFrame, order: int, gap: int = 0) -> DataFrame:
@@ -35,16 +41,33 @@ def escapes(counts: DataFrame) -> DataFrame:
     return of.withColumn("escape", F.col("symbols") / (F.col("symbols") + F.col("total")))
 
 
+def _per_batch(documents: DataFrame, f: Callable[[list[str]], list[tuple]], schema: str) -> DataFrame:
+    """Rows f(texts) of the texts of each Arrow batch, whole: what f has counted already is not shuffled."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(f(b["text"].tolist()), columns=names)
+
+    return spread(tx.texts(documents).filter("text != ''").select("text")).mapInPandas(run, schema)
+
+
 def indirect(documents: DataFrame, order: int = 2) -> DataFrame:
     """ctx, last, sym, n: how often a symbol follows when the context's two latest symbols were
-    `last` (within a text)."""
-    c = tx.texts(documents).filter("text != ''").select("doc_id", F.split("text", "").alias("c"))
-    before = lambda i: F.array_join(F.slice("c", i - order + 1, order), "")
-    each = F.transform(F.sequence(F.lit(order), F.size("c") - 1), lambda i: F.struct(i.alias("pos"), before(i).alias("ctx"), F.get("c", i).alias("sym")))
-    e = c.filter(F.size("c") > order).select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.*")
-    w = Window.partitionBy("doc_id", "ctx").orderBy("pos")
-    last = F.concat(F.coalesce(F.lag("sym", 2).over(w), F.lit("")), F.coalesce(F.lag("sym", 1).over(w), F.lit("")))
-    return e.withColumn("last", last).groupBy("ctx", "last", "sym").agg(F.count("*").alias("n"))
+    `last` (within a text). Each text is walked once, in place; only counts are shuffled."""
+
+    def count(texts: list[str]) -> list[tuple]:
+        n: Counter = Counter()
+        for t in texts:
+            last: dict[str, str] = {}
+            for i in range(order, len(t)):
+                ctx = t[i - order : i]
+                before = last.get(ctx, "")
+                n[ctx, before, t[i]] += 1
+                last[ctx] = (before + t[i])[-2:]
+        return [(*k, v) for k, v in n.items()]
+
+    return _per_batch(documents, count, "ctx string, last string, sym string, n bigint").groupBy("ctx", "last", "sym").agg(F.sum("n").alias("n"))
 
 
 def word_positions(documents: DataFrame) -> DataFrame:
@@ -65,20 +88,51 @@ def novelty(documents: DataFrame, order: int = 2) -> DataFrame:
 
 def repeats(documents: DataFrame, k: int = 8) -> DataFrame:
     """doc_id, pos, distance: positions whose `k` preceding characters occurred before in the same
-    text, with the distance to the latest occurrence. An exact as-of self-join by lag."""
-    c = tx.texts(documents).filter(F.length("text") >= k).select("doc_id", F.split("text", "").alias("c"))
-    each = F.transform(F.sequence(F.lit(k), F.size("c")), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("c", i - k + 1, k), "").alias("ctx")))
-    e = c.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.pos", "e.ctx")
-    before = F.lag("pos").over(Window.partitionBy("doc_id", "ctx").orderBy("pos"))
-    return e.withColumn("distance", F.col("pos") - before).filter("distance IS NOT NULL").select("doc_id", "pos", "distance")
-
-
-def columns(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no, col, sym, above: the character at the same column of the line before."""
-    rows = tx.lines(documents).filter("line != ''").select("doc_id", "line_no", F.posexplode(F.split("line", "")).alias("col", "sym"))
-    w = Window.partitionBy("doc_id", "col").orderBy("line_no")
-    seen, last = F.lag("sym").over(w), F.lag("line_no").over(w)
-    return rows.withColumn("above", F.when(last == F.col("line_no") - 1, seen))
+    text, with the distance to the latest occurrence. Each text is walked once, in place: no shuffle."""
+    return per_text(tx.texts(documents), lambda data: _repeats(data.decode(), k), "pos int, distance int")
+
+
+def _repeats(t: str, k: int) -> list[tuple[int, int]]:
+    seen, out = {}, []
+    for i in range(k, len(t) + 1):
+        ctx = t[i - k : i]
+        if ctx in seen:
+            out.append((i, i - seen[ctx]))
+        seen[ctx] = i
+    return out
+
+
+def repeat_summary(documents: DataFrame, k: int = 8) -> DataFrame:
+    """doc_id, repeats, total_distance, nearest of the texts that have repeats."""
+
+    def run(data: bytes) -> list[tuple]:
+        d = [x for _, x in _repeats(data.decode(), k)]
+        return [(len(d), sum(d), min(d))] if d else []
+
+    return per_text(tx.texts(documents), run, "repeats bigint, total_distance bigint, nearest int")
+
+
+def column_agreement(documents: DataFrame) -> DataFrame:
+    """col, n, with_above, agreeing: characters by column, those with a character at the same column of
+    the line before, and those that equal it. Lines are compared in place; only counts are shuffled."""
+
+    def count(texts: list[str]) -> list[tuple]:
+        n, above, same = (np.zeros(64, np.int64) for _ in range(3))
+        for t in texts:
+            before = np.zeros(0, np.uint32)
+            for line in t.split("\n"):
+                now = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+                if len(now) > len(n):
+                    n, above, same = (np.pad(x, (0, 2 * len(now) - len(x))) for x in (n, above, same))
+                m = min(len(now), len(before))
+                n[: len(now)] += 1
+                above[:m] += 1
+                same[:m] += now[:m] == before[:m]
+                before = now
+        return [(c, int(n[c]), int(above[c]), int(same[c])) for c in np.flatnonzero(n)]
+
+    r = _per_batch(documents, count, "col int, n bigint, with_above bigint, agreeing bigint")
+    return r.groupBy("col").agg(*[F.sum(c).alias(c) for c in ("n", "with_above", "agreeing")])
 
 
 def normalized_frequencies(counts: DataFrame, symbol: str, bits: int = 12) -> DataFrame:

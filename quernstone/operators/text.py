@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.session import per_text
+
 #: Segmentation of markup text; the order of the alternatives is their precedence.
 TOKEN = (
     r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!\[CDATA\[[\s\S]*?\]\]>|</?[A-Za-z:_][^>\n<]*>"
@@ -147,8 +149,14 @@ def byte_ranks(documents: DataFrame) -> DataFrame:
     return every.withColumn("code", F.row_number().over(Window.orderBy(F.desc("cnt"), "byte")) - 1)  # 256 rows
 
 
-def lines(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no, start (characters), line."""
-    t = texts(documents).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
+def line_offsets(documents: DataFrame) -> DataFrame:
+    """doc_id, line_no, len, start (characters) of every line; each text is cut in place: no shuffle."""
+
+    def run(data: bytes) -> list[tuple]:
+        out, at = [], 0
+        for k, line in enumerate(data.decode().split("\n")):
+            out.append((k, len(line), at))
+            at += len(line) + 1
+        return out
+
+    return per_text(texts(documents), run, "line_no int, len int, start bigint")

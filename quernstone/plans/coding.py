@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import codecs, markup, model, udfs
+from quernstone.functions import codecs, coder, markup, model, udfs
+from quernstone.functions.registry import NAMES
+from quernstone.operators import experiments as ex
 from quernstone.operators import text as tx
 from quernstone.operators import vocab
 from quernstone.operators.experiments import MIXER_RATES
@@ -118,91 +123,195 @@ def match_profile(spark, d):
     return udfs.per_text(table(spark, d, "documents"), run, "none int, short int, medium int, long int, ring int, repeated int, ranks bigint")
 
 
-def _stream(spark: SparkSession, d: str) -> bytes:
-    """The registry of methods as text: a table of about 120 rows that doesn't grow."""
-    rows = table(spark, d, "methods").select("method_id", "method", "family", "stage").orderBy("method_id").collect()
-    return "\n".join(f"{r.method} {r.family} {r.stage}" for r in rows).encode()
+#: Streams that a task hands to the coder at once.
+STREAMS = 2_048
 
 
-def _grid(spark: SparkSession, rows: list[tuple], schema: str, f, out: str) -> DataFrame:
-    """f(row) for every row of a small grid, a task each."""
+def _receipts(spark: SparkSession, d: str) -> DataFrame:
+    """log_pos and text of every gate of candidates: the streams that the coder's queries code."""
+    return spread(table(spark, d, "phase6_receipts").select("log_pos", F.concat_ws(" ", "id", "hypothesis", "parent", "corpus", "attribution", "decision", "notes").alias("text")))
+
+
+def _coded(streams: DataFrame, f: Callable[[list, list[bytes]], list[tuple]], schema: str) -> DataFrame:
+    """Rows f(keys, texts) of the texts (key, text), a bounded number of them at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                yield pd.DataFrame([f(*r)], columns=[x.split()[0] for x in out.split(", ")])
+            for at in range(0, len(b), STREAMS):
+                part = b.iloc[at : at + STREAMS]
+                yield pd.DataFrame(f(part.iloc[:, 0].tolist(), [t.encode() for t in part.iloc[:, 1]]), columns=names)
 
-    grid = spark.createDataFrame(rows, schema)
-    return grid.repartition(min(len(rows), spark.sparkContext.defaultParallelism)).mapInPandas(run, out)
+    return streams.mapInPandas(run, schema)
 
 
 @_query()
 def model_roundtrip(spark, d):
-    """Every row of the registry as an archive of its own: header, sizes, and whether it comes back."""
-    t = table(spark, d, "methods").select("method_id", F.encode(F.concat_ws(" ", "method", "family", F.col("stage").cast("string")), "UTF-8").alias("data"))
-    t = spread(t).withColumn("code", udfs.bytes_udf(lambda x: model.archive(x, 86, 51))("data"))
-    t = t.withColumn("back", udfs.bytes_udf(model.unarchive)("code"))
-    return t.select("method_id", F.octet_length("data").alias("n_in"), F.octet_length("code").alias("n_out"), F.hex(F.substring("code", 1, 6)).alias("head"), (F.col("data") == F.col("back")).alias("exact"))
+    """Every receipt as an archive of the method that its position names in turn: sizes, what the
+    stages made of it, and whether it comes back."""
+
+    def run(keys: list, texts: list[bytes]) -> list[tuple]:
+        out, groups = [], {}
+        for k, t in zip(keys, texts, strict=True):
+            groups.setdefault(k % len(NAMES), []).append((k, t))
+        for method, rows in groups.items():
+            own = [t for _, t in rows]
+            made = model.archives(own, method, model.ACCEPTED_TUNE)
+            back = model.unarchives(made)
+            out += [(k, NAMES[method], len(t), model.header(m)[2], len(m), b == t) for (k, t), m, b in zip(rows, made, back, strict=True)]
+        return out
+
+    by_method = _receipts(spark, d).repartition(spark.sparkContext.defaultParallelism * 4, F.pmod("log_pos", F.lit(len(NAMES))))
+    return _coded(by_method, run, "log_pos bigint, method string, n_in int, n_stages int, n_out int, exact boolean")
+
+
+@_query()
+def archive_report(spark, d):
+    """All receipts by the accepted method and tune: the report line of a bench."""
+
+    def run(keys: list, texts: list[bytes]) -> list[tuple]:
+        made = model.archives(texts)
+        return [(len(t), len(m), b == t) for t, m, b in zip(texts, made, model.unarchives(made), strict=True)]
+
+    r = _coded(_receipts(spark, d), run, "n_in int, n_out int, exact boolean").agg(F.count("*").alias("streams"), F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.bool_and("exact").alias("exact"))
+    return r.select("streams", "n_in", "n_out", F.round(F.col("n_in") / F.col("n_out"), 4).alias("ratio"), F.round(F.lit(8.0) * F.col("n_out") / F.col("n_in"), 4).alias("bits_per_byte"), "exact")
 
 
 @_query()
 def block_probe(spark, d):
-    """The registry coded in 1, 2, 4 and 8 blocks: what independent blocks cost."""
-    data = _stream(spark, d)
+    """The receipts coded in 1, 2 and 4 blocks each: what independent blocks cost, and how many coding steps are
+    left of the longest block."""
+
+    def run(keys: list, texts: list[bytes]) -> list[tuple]:
+        out = []
+        for blocks in (1, 2, 4):
+            cut = [[t[len(t) * i // blocks : len(t) * (i + 1) // blocks] for i in range(blocks)] for t in texts]
+            flat = [p for c in cut for p in c]
+            codes = coder.encode(flat, coder.Config())
+            same = coder.decode(codes, [len(p) for p in flat], coder.Config()) == flat
+            out.append((blocks, sum(map(len, texts)), sum(map(len, codes)), sum(max(map(len, c)) for c in cut), same))
+        return out
+
+    r = _coded(_receipts(spark, d), run, "blocks int, n_in bigint, n_out bigint, longest bigint, exact boolean")
+    r = r.groupBy("blocks").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.sum("longest").alias("longest"), F.bool_and("exact").alias("exact"))
+    whole = r.filter("blocks = 1").select(F.col("n_out").alias("_whole"), F.lit(True).alias("_k"))
+    r = r.withColumn("_k", F.lit(True)).join(F.broadcast(whole), "_k")
+    return r.select("blocks", "n_in", "n_out", F.round(100.0 * (F.col("n_out") - F.col("_whole")) / F.col("_whole"), 3).alias("cost_percent"), F.round(F.col("n_in") / F.col("longest"), 3).alias("speedup"), "exact")
+
+
+def _sizes(spark: SparkSession, d: str, configs: dict[str, coder.Config]) -> DataFrame:
+    """name and ideal bytes of all receipts by each configuration; the grid is spread over tasks."""
 
-    def run(blocks: int) -> tuple:
-        size = -(-len(data) // blocks)
-        parts = [data[i : i + size] for i in range(0, len(data), size)]
-        codes = [model.encode_bits(p, model.Config())[0] for p in parts]
-        return blocks, len(data), sum(map(len, codes)), b"".join(model.decode_bits(c, len(p), model.Config()) for c, p in zip(codes, parts, strict=True)) == data
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, rows in b.groupby("name"):
+                for at in range(0, len(rows), STREAMS):
+                    cost = coder.costs([t.encode() for t in rows["text"].iloc[at : at + STREAMS]], configs[name])
+                    yield pd.DataFrame([(name, float(sum(x.sum() for x in cost)))], columns=["name", "bits"])
 
-    return _grid(spark, [(1,), (2,), (4,), (8,)], "blocks int", run, "blocks int, n_in int, n_out int, exact boolean")
+    grid = _receipts(spark, d).withColumn("name", F.explode(F.array(*[F.lit(n) for n in configs])))
+    parts = max(spark.sparkContext.defaultParallelism, grid.rdd.getNumPartitions())
+    grid = grid.repartition(parts, "name", F.pmod("log_pos", F.lit(8))).select("name", "text")
+    return grid.mapInPandas(run, "name string, bits double").groupBy("name").agg((F.sum("bits") / 8).alias("n_bytes"))
 
 
 @_query()
 def expert_marginals(spark, d):
-    """Ideal bytes without each expert, and whether it pays."""
-    data = _stream(spark, d)
-    full = model.Config()
+    """Ideal bytes without each expert of the accepted configuration, whether it is to keep, and its rank by
+    what it saves; without both word experts for the ablation."""
+    full = coder.for_method(model.ACCEPTED_METHOD)
+    configs = {"": full, **{n: replace(full, off=n) for n, _ in full.experts()}, "word+pair": replace(full, word=False, pair=False)}
+    s = _sizes(spark, d, configs).withColumn("_k", F.lit(True))
+    base = s.filter("name = ''").select(F.col("n_bytes").alias("_base"), "_k")
+    r = s.filter("name != ''").join(F.broadcast(base), "_k").withColumn("saves", F.col("n_bytes") - F.col("_base"))
+    place = F.row_number().over(Window.orderBy("saves", "name"))  # one row per expert
+    return r.select(F.col("name").alias("expert"), F.round("_base", 1).alias("with_it"), F.round("n_bytes", 1).alias("without_it"), F.when(F.col("saves") > 0, "KEEP").otherwise("PRUNE").alias("verdict"), place.alias("place"))
 
-    def run(expert: str) -> tuple:
-        bits = [model.encode_bits(data, c)[1] / 8 for c in (full, full.without(expert))]
-        return expert, round(bits[0], 3), round(bits[1], 3), bits[1] > bits[0]
 
-    return _grid(spark, [(e,) for e in full.experts()], "expert string", run, "expert string, with_it double, without_it double, pays boolean")
+@_query()
+def rate_sweep(spark, d):
+    """Ideal bytes by learning rate, by a shift of all adaptation rates, and with the best of both, against
+    the sum of their single gains."""
+    base = coder.for_method(model.ACCEPTED_METHOD)
+    configs = {**{f"lr{x}": replace(base, mixer_rate=x) for x in MIXER_RATES}, **{f"shift{x:+d}": replace(base, shift=x) for x in (-1, 1, 2)}}
+    s = _sizes(spark, d, configs)
+    return s.select(F.col("name").alias("setting"), F.round("n_bytes", 1).alias("n_bytes"), (F.rank().over(Window.orderBy("n_bytes"))).alias("place"))
 
 
 @_query()
-def rate_sweep(spark, d):
-    """Ideal bytes by mixer rate and a shift of all adaptation rates."""
-    data = _stream(spark, d)
+def tune_trials(spark, d):
+    """Trials of the tunes that a coordinate search asks for, run over all receipts, with the frontier."""
+    base = coder.for_method(model.ACCEPTED_METHOD)
+    tunes = ex.schedule("coord", set())
+    s = _sizes(spark, d, {str(t): base.tuned(t) for t in tunes})
+    best = F.min("archive_bytes").over(Window.partitionBy())  # one row per tune
+    s = s.select(F.lit(NAMES[model.ACCEPTED_METHOD]).alias("method"), F.col("name").cast("int").alias("tune"), F.ceil("n_bytes").alias("archive_bytes"))
+    return s.withColumn("frontier", F.col("archive_bytes") == best)
 
-    def run(lr: int, shift: int) -> tuple:
-        c = model.Config(mixer_rate=lr)
-        c.rates = {k: max(1, v + shift) for k, v in c.rates.items()}
-        return lr, shift, round(model.encode_bits(data, c)[1] / 8, 3)
 
-    return _grid(spark, [(lr, s) for lr in MIXER_RATES for s in (0, 1)], "lr int, shift int", run, "lr int, shift int, n_bytes double")
+@_query()
+def coded_word_prices(spark, d):
+    """Words by the bits that the coder spends on their occurrences in all receipts, with the gain of
+    an entry: references of two bytes and a definition at the mean price of a byte."""
+    c = coder.for_method(54)
+
+    def run(keys: list, texts: list[bytes]) -> list[tuple]:
+        spent: dict[bytes, list] = {}
+        for t, cost in zip(texts, coder.costs(texts, c), strict=True):
+            upto = np.concatenate([[0.0], np.cumsum(cost)])
+            for m in re.finditer(rb"[A-Za-z]+", t):
+                s = spent.setdefault(m[0], [0, 0.0])
+                s[0] += 1
+                s[1] += upto[m.end()] - upto[m.start()]
+            s = spent.setdefault(b"", [0, 0.0])
+            s[0] += len(t)
+            s[1] += upto[-1]
+        return [(w.decode(), n, bits) for w, (n, bits) in spent.items()]
+
+    w = _coded(_receipts(spark, d), run, "word string, cnt bigint, bits double").groupBy("word").agg(F.sum("cnt").alias("cnt"), F.sum("bits").alias("bits"))
+    mean = w.filter("word = ''").select((F.col("bits") / F.col("cnt")).alias("_mean"), F.lit(True).alias("_k"))
+    r = w.filter("word != ''").withColumn("_k", F.lit(True)).join(F.broadcast(mean), "_k")
+    gain = F.col("bits") - F.col("_mean") * (2 * F.col("cnt") + F.length("word") + 1)
+    return r.select("word", "cnt", F.round("bits", 2).alias("bits"), F.round(gain, 2).alias("gain"), (gain > 0).alias("pays"))
+
+
+#: Receipts that the corrector is trained on, at most: those with the smallest hashes of log_pos.
+TRAINING_STREAMS = 64
 
 
 @_query()
 def corrector_training(spark, d):
-    """Loss of the learned corrector over the events of coding the registry, before and after."""
-    data = _stream(spark, d)
+    """Loss of the learned corrector over the coding events of a bounded sample of receipts, before and after
+    training, its smoothed end, and the ideal bytes of those receipts with and without it."""
+    texts = [r.text.encode() for r in _receipts(spark, d).orderBy(F.xxhash64("log_pos")).limit(TRAINING_STREAMS).collect()]
+    base = coder.for_method(54)
 
     def run(seed: int) -> tuple:
-        m, rows = model.Predictor(model.Config()), []
-        for byte in data:
-            for k in range(7, -1, -1):
-                p, bit = m.p(), byte >> k & 1
-                x = [max(-32, min(31, v >> 6)) for v in m.inputs[:11]]
-                rows.append((x + [0] * (11 - len(x)) + [1 if m.word else -1], p, bit))
-                m.update(bit)
-        *w, loss = model.train_corrector(rows, seed=seed)
-        plain = model.train_corrector(rows, rate=0.0, seed=seed)[-1]
-        return seed, round(plain, 5), round(loss, 5), model.read_weights(model.weights_bytes(*w)) == tuple(w)
+        events: list = []
 
-    return _grid(spark, [(1,), (2,)], "seed int", run, "seed int, before double, after double, exact boolean")
+        def watch(m, p, bit) -> None:
+            f = m.features()
+            events.extend((f[k].tolist(), int(p[k]), int(bit[k])) for k in range(0, m.a, 8))
+
+        plain_bytes = sum(x.sum() for x in coder.costs(texts, base, watch)) / 8
+        *w, loss, smooth = model.train_corrector(events, seed=seed)
+        plain = model.train_corrector(events, rate=0.0, seed=seed)[-2]
+        with_it = sum(x.sum() for x in coder.costs(texts, replace(base, corrector=tuple(w)))) / 8
+        return seed, round(plain, 5), round(loss, 5), round(smooth, 5), round(plain_bytes, 1), round(with_it, 1), model.read_weights(model.weights_bytes(*w)) == tuple(w)
+
+    return _grid(spark, [(1,), (2,)], "seed int", run, "seed int, before double, after double, smoothed double, plain_bytes double, corrected_bytes double, exact boolean")
+
+
+def _grid(spark: SparkSession, rows: list[tuple], schema: str, f, out: str) -> DataFrame:
+    """f(row) for every row of a small grid, a task each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield pd.DataFrame([f(*r)], columns=[x.split()[0] for x in out.split(", ")])
+
+    grid = spark.createDataFrame(rows, schema)
+    return grid.repartition(min(len(rows), spark.sparkContext.defaultParallelism)).mapInPandas(run, out)
 
 
 _WIDE = """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS cnt, length(word) AS n FROM w GROUP BY word HAVING count(*) >= 2 AND length(word) BETWEEN 3 AND 255),
@@ -226,8 +335,6 @@ def vocab_wide(spark, d):
         after = (F.col("cnt") < last.cnt) | ((F.col("cnt") == last.cnt) & (F.col("word") > last.word))
         rest = c.filter(after & (F.col("cnt") * (n - 3) - (n + 1) > 0))
         first = spark.createDataFrame(rows, c.schema).unionByName(rest).orderBy(*order).limit(65_534)
-    from pyspark.sql import Window
-
     return first.select(F.row_number().over(Window.orderBy(*order)).alias("id"), "word", "cnt")
 
 

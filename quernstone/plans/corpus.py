@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import layout, seqstats, vocab
 from quernstone.operators import text as tx
+from quernstone.operators.prefix import running
 from quernstone.session import spread
 from quernstone.sources.tables import table
 
@@ -58,8 +59,10 @@ def corpus_ladder_full(d):
 def _ladder(d: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     t = tx.texts(d).select("doc_id", F.octet_length("text").cast("bigint").alias("n"), F.floor(F.col("doc_id") / 4096).alias("block"))
     sums = t.groupBy("block").agg(F.sum("n").alias("b"))
-    before = sums.select("block", F.coalesce(F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    upto = t.join(before, "block").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("block").orderBy("doc_id")))
+    low, top = (d.agg(F.min("doc_id"), F.max("doc_id")).first() or (0, 0))
+    low, top = ((low or 0) // 4096, (top or 0) // 4096)
+    sums = running(sums.withColumn("_at", F.col("block") - low), "_at", top - low, total=F.col("b"), before=True).select("block", F.col("total_").alias("before"))
+    upto = t.join(sums, "block").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("block").orderBy("doc_id")))
     rungs = F.explode(F.array(*[F.lit(x) for x in sizes])).alias("rung")
     r = upto.select("upto", rungs).groupBy("rung").agg(F.count_if(F.col("upto") <= F.col("rung")).alias("whole_docs"), F.max("upto").alias("top"))
     return r.select("rung", "whole_docs", F.least("top", F.col("rung").cast("bigint")).alias("n_bytes"))
@@ -116,8 +119,9 @@ _TOKENS = f"SELECT doc_id, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS to
 @_query(f"WITH t AS ({_TOKENS}) SELECT doc_id, count(*) AS n_tokens, sum(length(token))::BIGINT AS n_chars, sum(seq * length(token))::BIGINT AS fingerprint FROM t GROUP BY doc_id")
 def token_partition(d):
     """Per text the number of tokens, their total length and a sum that depends on every boundary."""
-    t = tx.tokens(d, tx.TOKEN_PLAIN)
-    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("len").cast("bigint")).alias("n_chars"), F.sum(F.col("seq").cast("bigint") * F.col("len")).alias("fingerprint"))
+    t = tx.texts(d).filter("text != ''").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(tx.TOKEN_PLAIN), F.lit(0)), lambda x: F.length(x).cast("bigint")).alias("l"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, v: s + v)
+    return t.select("doc_id", F.size("l").cast("bigint").alias("n_tokens"), total(F.col("l")).alias("n_chars"), total(F.transform("l", lambda v, i: v * i)).alias("fingerprint"))
 
 
 @_query(f"WITH t AS ({_TOKENS}), k AS (SELECT {_KIND} AS kind, token FROM t) SELECT s.kind, count(k.token) AS n, coalesce(sum(strlen(token)), 0)::BIGINT AS n_bytes FROM (SELECT unnest({tx.KINDS}) AS kind) s LEFT JOIN k USING (kind) GROUP BY s.kind")
@@ -214,21 +218,20 @@ _LINES = "SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS
 
 @_query(f"WITH t AS ({_LINES}) SELECT doc_id, line_no, length(line) AS len, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1)::BIGINT AS start FROM t")
 def line_offsets(d):
-    return tx.lines(d).select("doc_id", "line_no", F.length("line").alias("len"), F.col("start").cast("bigint").alias("start"))
+    return tx.line_offsets(d)
 
 
 @_query(f"""WITH t AS ({_LINES}), c AS (SELECT doc_id, line_no, generate_subscripts(l, 1) AS col, unnest(l) AS sym FROM (SELECT doc_id, line_no, string_split(line, '') AS l FROM t WHERE line != ''))
 SELECT a.col - 1 AS col, count(*) AS n, count(b.sym) AS with_above, count(*) FILTER (a.sym = b.sym) AS agreeing FROM c a LEFT JOIN c b ON a.doc_id = b.doc_id AND a.col = b.col AND b.line_no = a.line_no - 1 GROUP BY a.col""")
 def column_above_agreement(d):
-    return seqstats.columns(d).groupBy("col").agg(F.count("*").alias("n"), F.count("above").alias("with_above"), F.count_if(F.col("above") == F.col("sym")).alias("agreeing"))
+    return seqstats.column_agreement(d)
 
 
 @_query("""WITH c AS (SELECT doc_id, unnest(range(9, length(text) + 2)) AS pos, text FROM documents WHERE length(text) >= 8), e AS (SELECT doc_id, pos - 1 AS pos, substring(text, pos - 8, 8) AS ctx FROM c),
 r AS (SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id, ctx ORDER BY pos) AS distance FROM e)
 SELECT doc_id, count(*) AS repeats, sum(distance)::BIGINT AS total_distance, min(distance) AS nearest FROM r WHERE distance IS NOT NULL GROUP BY doc_id""")
 def repeat_distance_k8(d):
-    r = seqstats.repeats(d, 8)
-    return r.groupBy("doc_id").agg(F.count("*").alias("repeats"), F.sum("distance").alias("total_distance"), F.min("distance").alias("nearest"))
+    return seqstats.repeat_summary(d, 8)
 
 
 @_query("""WITH c AS (SELECT generate_subscripts(l, 1) AS i, l FROM (SELECT string_split(text, '') AS l FROM documents WHERE length(text) > 1)), p AS (SELECT l[i] AS a, l[i + 1] AS b FROM c WHERE i < len(l))
@@ -316,10 +319,12 @@ def layout_info(d):
     p = layout.pages(d).select("pos", "page_id").withColumn("block", F.floor(F.col("pos") / 4096))
     inner = F.lag("page_id").over(Window.partitionBy("block").orderBy("pos"))
     b = p.withColumn("bad", F.col("page_id") <= inner).groupBy("block").agg(F.count("*").alias("n"), F.count("page_id").alias("ids"), F.count_if("bad").alias("bad"), F.min_by("page_id", "pos").alias("first"), F.max_by("page_id", "pos").alias("last"))
-    ends = b.withColumn("bad", F.col("bad") + F.when(F.col("first") <= F.lag("last").over(Window.orderBy("block")), 1).otherwise(0))
+    low, top = (p.agg(F.min("block"), F.max("block")).first())
+    ends = running(b.withColumn("_at", F.col("block") - (low or 0)), "_at", (top or 0) - (low or 0), last=F.col("last"), before=True)
+    ends = ends.withColumn("bad", F.col("bad") + F.when(F.col("first") <= F.col("last_"), 1).otherwise(0))
     t = ends.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.sum("bad").alias("bad"))
-    logs = F.aggregate(F.sequence(F.lit(2).cast("bigint"), F.greatest(F.col("n"), F.lit(2))), F.lit(0.0), lambda a, i: a + F.log2(i.cast("double")))
-    return t.select(F.col("n").alias("n_pages"), ((F.col("ids") == F.col("n")) & (F.col("bad") == 0)).alias("ascending"), F.ceil(logs / 8).alias("permutation_bytes"))
+    logs = layout.permutation_bytes(d.sparkSession, p.count())
+    return t.select(F.col("n").alias("n_pages"), ((F.col("ids") == F.col("n")) & (F.col("bad") == 0)).alias("ascending"), F.lit(logs).alias("permutation_bytes"))
 
 
 @_query(_PAGES + "SELECT pos, row_number() OVER (ORDER BY coalesce(page_id, 9223372036854775807), pos) - 1 AS place FROM p")

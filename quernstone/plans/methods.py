@@ -5,20 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The names of the methods in the order of their ids, from 0.
-NAMES = [
-    "rawcm", "rawcm-noword", "struct-hoist", "alphabet-perm", "alphabet-random", "info-inherit", "info-unrelated", "alphabet-perm+info-inherit", "column", "column-shuffled", "column-noline", "case", "case-mark", "column-case",
-    "column-case-mark", "word-token", "word-token-reverse", "column-word-token", "column-word-token-reverse", "word-token2", "column-word-token2", "long-match6", "long-match8", "long-match12", "long-match16", "long-match24",
-    "sparse-match4g1", "sparse-match6g1", "sparse-match6g2", "rep-state1", "rep-state2", "rep-state3", "rep-state4", "match-byte", "match-byte-const", "phase4", "dist-match", "stem", "word-class", "word-class-const",
-    "column-word-token-phrase", "column-word-token-phrase-freq", "column-word-token-front", "column-word-token-affix", "grammar", "grammar-mtf", "grammar-mr", "grammar-rrank", "grammar-first-use", "grammar-oneshot", "lzbe",
-    "state-map", "state-map-ctl", "state-map-rep", "sse-3", "sse-3-ctl", "sparse4g1", "sparse4g1-ctl", "sparse4g1-rep", "icm", "icm-ctl", "indirect-chain", "indirect-deep", "collision", "collision-ctl", "ppm", "ppm-ctl",
-    "stem-model", "stem-model-ctl", "isse", "isse-ctl", "phase6", "spine", "reorder-id", "reorder-title", "reorder-size", "reorder-struct", "reorder-minhash", "reorder-greedy", "reorder-template", "reorder-shuffle",
-    "reorder-category", "reorder-template-key", "reorder-category-set", "reorder-full", "reorder-full-residual", "residual", "residual-ctl", "residual-mtf", "residual-move-to-second", "residual-priced",
-    "residual-price-filter", "residual-affix", "residual-first-use", "residual-subword",
-]
-#: The page order of the methods 73 to 85; later ones use the full order.
-ORDERS = ["identity", "title", "size", "namespace", "minhash", "greedy", "boilerplate", "shuffle", "category", "template", "category_set", "full", "full_novelty"]
-
+from quernstone.functions.registry import NAMES, ORDERS
 
 def _between(c: Column, *ranges: tuple[int, int]) -> Column:
     out = F.lit(False)

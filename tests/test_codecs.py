@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 
-from quernstone.functions import codecs, markup, model
+from quernstone.functions import codecs, coder, markup, model, pages
+from quernstone.functions.registry import NAMES, ORDERS
 
 TEXT = b"<page><title>The Nations</title> running runs The THE tHe station stations; &amp; [[link]] {{t}} http://x.y aaaa aaaa\x00\x01\x7f " * 6
 
@@ -64,19 +66,60 @@ def test_segments_partition():
     assert markup.segment("{{open")[0] == ("punct", 0, 2)
 
 
-def test_archive():
-    for data in (b"", b"a", TEXT[:400], bytes(range(256))):
-        a = model.archive(data, 86, 51)
-        assert model.unarchive(a) == data and model.header(a) == ("residual", 51, len(data))
-    assert model.header(b"nothing at all!") is None and model.unarchive(b"QRN1\xff" + b"\0" * 20) is None
-    assert len(model.archive(TEXT)) < len(TEXT) / 3
+SMALL = [b"", b"a", b"The gates kept THE gates.\n|| The gates", b"gate gate gate gates gate'", bytes(range(0, 256, 7))]
+
+
+@pytest.mark.parametrize("method", range(95))
+def test_archive_of_every_method(method):
+    tune = method * 7 % 256 & 0x3F
+    made = model.archives(SMALL, method, tune)
+    assert model.unarchives(made) == SMALL
+    assert [model.header(a)[:2] for a in made] == [(NAMES[method], tune)] * len(SMALL)
+
+
+def test_archive_edges():
+    assert model.header(b"nothing at all!") is None and model.unarchive(b"QRN2\xff" + b"\0" * 20) is None
+    assert model.unarchives([model.archive(b"ab", 0, 0), b"no", model.archive(b"cd", 15, 3)]) == [b"ab", None, b"cd"]
+    assert len(model.archive(TEXT[:150] * 3)) < 225
+
+
+def test_a_code_depends_on_its_stream_alone():
+    c = coder.for_method(65).tuned(0)
+    streams = [TEXT[k : k + 20 + 3 * k] for k in range(0, 12, 3)]
+    together = coder.encode(streams, c)
+    assert together == [coder.encode([s], c)[0] for s in streams]
+    assert coder.decode(together, [len(s) for s in streams], c) == streams
+
+
+def test_methods_differ():
+    data = b"The gates kept THE gates of the gate.\n" * 2
+    assert len({model.archive(data, m, 0)[7:] for m in (0, 1, 5, 8, 11, 15, 16, 19, 26, 33, 35, 38, 44, 51, 54, 56, 59, 65, 67)}) >= 17  # few words are worth an entry here
+
+
+def test_pages_are_reordered_and_come_back():
+    page = lambda i, t, c: f"<page><title>{t}</title><id>{i}</id>{{{{b{i % 2}}}}} words {t} [[Category:{c}]]</page>\n".encode()
+    data = b"<head>\n" + page(1, "Beta", "z") + page(2, "Alpha", "y") + page(10, "Gamma", "x") + b"</tail>\n"
+    assert re.findall(rb"<id>(\d+)", pages.reorder(data, "title")) == [b"2", b"1", b"10"]
+    assert re.findall(rb"<id>(\d+)", pages.reorder(data, "category")) == [b"10", b"2", b"1"]
+    for how in ORDERS:
+        assert pages.restore(pages.reorder(data, how)) == data
+    assert pages.reorder(b"<page><id>9</id></page><page><id>3</id></page>", "title") is None and pages.reorder(b"x", "title") is None
+    for m in (73, 84):
+        made = model.archive(data, m, 0)
+        assert made[6] == 1 and model.unarchive(made) == data
 
 
 def test_range_coder_ideal_bits():
-    code, bits = model.encode_bits(TEXT, model.Config())
+    c = coder.Config()
+    code, bits = coder.encode([TEXT[:200]], c)[0], coder.costs([TEXT[:200]], c)[0].sum()
     assert bits / 8 <= len(code) <= bits / 8 + 16
 
 
+def test_word_gains():
+    gains = model.word_gains([b"lanternfish swim " * 4 + b"q"], coder.Config())[0]
+    assert set(gains) == {b"lanternfish", b"swim", b"q"}
+
+
 def test_rans():
     freq, cum = model.rans_table([TEXT.count(i) for i in range(256)])
     assert sum(freq) == 4096 and model.rans_decode(model.rans_encode(TEXT, freq, cum), len(TEXT), freq, cum) == TEXT
@@ -90,12 +133,12 @@ def test_images_last_marker_wins():
 
 def test_corrector_learns_and_serializes():
     rows = [([32 if k % 2 else -32] * 12, 2048, k % 2) for k in range(600)]
-    *w, loss = model.train_corrector(rows)
-    assert loss < 0.9 and model.read_weights(model.weights_bytes(*w)) == tuple(w)
+    *w, loss, smooth = model.train_corrector(rows)
+    assert loss < 0.9 and 0.9 < smooth < 1 and model.read_weights(model.weights_bytes(*w)) == tuple(w)
     assert model.read_weights(b"QNET\x01\x00") is None
 
 
 def test_stretch_inverts_squash():
-    assert all(model.squash(model.STRETCH[p]) >= p for p in range(1, 4095))
+    assert all(coder.squash(model.STRETCH[p]) >= p for p in range(1, 4095))
     assert model.front_ranks("abba") == [-1, -1, 0, 1]
     assert sum(model.match_states(b"abcdefgh" * 20)) > 100 and model.ring_hits(b"abcdefgh" * 20) > 100
