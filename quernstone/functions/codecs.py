@@ -142,8 +142,8 @@ def case_unmark(data: bytes) -> bytes:
 
 
 def vocabulary(counts: Counter, top: int = 255) -> list[bytes]:
-    """Words that save bytes as one-byte ids, by count, ties by word; none over 255 bytes."""
-    ok = [(n, w) for w, n in counts.items() if 3 <= len(w) <= 255 and n >= 2 and n * (len(w) - 2) - (len(w) + 1) > 0]
+    """Words that save bytes as one-byte ids, by count, ties by word."""
+    ok = [(n, w) for w, n in counts.items() if len(w) >= 3 and n >= 2 and n * (len(w) - 2) - (len(w) + 1) > 0]
     return [w for n, w in sorted(ok, key=lambda x: (-x[0], x[1]))[:top]]
 
 
@@ -153,7 +153,7 @@ def wide_vocabulary(counts: Counter, top: int = 65_534) -> list[bytes]:
     kept: list[bytes] = []
     for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
         code = 2 if len(kept) < 254 else 3
-        if 3 <= len(w) <= 255 and n >= 2 and n * (len(w) - code) - (len(w) + 1) > 0:
+        if len(w) >= 3 and n >= 2 and n * (len(w) - code) - (len(w) + 1) > 0:
             kept.append(w)
             if len(kept) == top:
                 break
@@ -169,16 +169,16 @@ def _words_of(data: bytes) -> Counter:
 
 
 def _header(vocab: list[bytes]) -> bytes:
-    return varint(len(vocab)) + b"".join(bytes([len(w)]) + w for w in vocab)
+    return varint(len(vocab)) + b"".join(varint(len(w)) + w for w in vocab)
 
 
 def _read_header(data: bytes) -> tuple[list[bytes], int]:
     n, at = read_varint(data, 0)
     vocab = []
     for _ in range(min(n, len(data))):
-        size = data[at] if at < len(data) else 0
-        vocab.append(data[at + 1 : at + 1 + size])
-        at += 1 + size
+        size, at = read_varint(data, at)
+        vocab.append(data[at : at + size])
+        at += size
     return vocab, at
 
 
@@ -253,7 +253,7 @@ def tokenize_first_use(data: bytes, top: int = 254) -> bytes:
             out.append(bytes([MARK, ids[run]]))
         else:
             ids[run] = len(ids)
-            out.append(bytes([MARK2, len(run)]) + run)
+            out.append(bytes([MARK2]) + varint(len(run)) + run)
     return b"".join(out)
 
 
@@ -269,10 +269,10 @@ def untokenize_first_use(data: bytes) -> bytes:
             out += words[k] if k < len(words) else b""
             at += 2
         elif b == MARK2:
-            size = data[at + 1] if at + 1 < len(data) else 0
-            words.append(data[at + 2 : at + 2 + size])
+            size, at = read_varint(data, at + 1)
+            words.append(data[at : at + size])
             out += words[-1]
-            at += 2 + size
+            at += size
         else:
             out.append(b)
             at += 1
@@ -304,7 +304,7 @@ def tokenize_front(data: bytes) -> bytes:
     head, before = [varint(len(vocab))], b""
     for w in vocab:
         same = next((k for k, (a, b) in enumerate(zip(w, before, strict=False)) if a != b), min(len(w), len(before)))
-        head.append(bytes([same, len(w) - same]) + w[same:])
+        head.append(varint(same) + varint(len(w) - same) + w[same:])
         before = w
     return b"".join(head) + tokenize(data, vocab)[len(_header(vocab)) :]
 
@@ -313,10 +313,11 @@ def untokenize_front(data: bytes) -> bytes:
     n, at = read_varint(data, 0)
     vocab, before = [], b""
     for _ in range(min(n, len(data))):
-        same, size = (data[at], data[at + 1]) if at + 1 < len(data) else (0, 0)
-        before = before[:same] + data[at + 2 : at + 2 + size]
+        same, at = read_varint(data, at)
+        size, at = read_varint(data, at)
+        before = before[:same] + data[at : at + size]
         vocab.append(before)
-        at += 2 + size
+        at += size
     return _read_body(vocab, at, data)
 
 

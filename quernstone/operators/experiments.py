@@ -109,6 +109,21 @@ def tune_parts(tune: Column) -> list[Column]:
     return [F.get(rates, low).alias("mixer_rate"), F.least(high, F.lit(MAX_SCALE)).alias("scale"), move(-1).alias("lower"), move(1).alias("upper")]
 
 
+def improvements(t: DataFrame, width: int = 65_536) -> DataFrame:
+    """Trials with `better`: whether they beat all before them in the log with their method and corpus.
+    Running minima within blocks of `width` log positions, and over the blocks, so that a corpus of
+    any size is spread."""
+    most = F.lit((1 << 63) - 1)
+    b = t.withColumn("_block", F.floor(F.col("log_pos") / width))
+    least = b.groupBy("method", "corpus", "_block").agg(F.min("archive_bytes").alias("_least"))
+    before = Window.partitionBy("method", "corpus").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = least.select(F.col("method").alias("_m"), F.col("corpus").alias("_c"), F.col("_block").alias("_b"), F.coalesce(F.min("_least").over(before), most).alias("_carry"))
+    within = Window.partitionBy("method", "corpus", "_block").orderBy("log_pos").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_own", F.coalesce(F.min("archive_bytes").over(within), most))
+    j = b.join(carry, F.col("method").eqNullSafe(F.col("_m")) & F.col("corpus").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
+    return j.select(*t.columns, (F.col("archive_bytes") < F.least("_own", "_carry")).alias("better"))
+
+
 def upper_median(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
     """The element at n div 2 of the sorted values of each group: equal values are counted first, so
     windows run over distinct ones."""

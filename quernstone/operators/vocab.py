@@ -16,12 +16,11 @@ def gain(cnt: Column, n: Column) -> Column:
     return cnt * (n - 2) - (n + 1)
 
 
-def vocabulary(counts: DataFrame, word: str = "word", top: int = TOP, longest: int = 255) -> DataFrame:
+def vocabulary(counts: DataFrame, word: str = "word", top: int = TOP) -> DataFrame:
     """id, word, cnt, gain: words of three letters or more that occur twice or more and save
-    bytes, by count, ties by word. Words over 255 bytes are left out, as their length is stored in
-    a byte. The cut is a top-k, so only its rows meet in one task."""
+    bytes, by count, ties by word. The cut is a top-k, so only its rows meet in one task."""
     n = F.length(word)
-    ok = counts.withColumn("gain", gain(F.col("cnt"), n)).filter((n >= 3) & (n <= longest) & (F.col("cnt") >= 2) & (F.col("gain") > 0))
+    ok = counts.withColumn("gain", gain(F.col("cnt"), n)).filter((n >= 3) & (F.col("cnt") >= 2) & (F.col("gain") > 0))
     best = ok.orderBy(F.desc("cnt"), word).limit(top)
     return best.select(F.row_number().over(Window.orderBy(F.desc("cnt"), word)).alias("id"), F.col(word).alias("word"), "cnt", "gain")
 

@@ -314,7 +314,7 @@ def _grid(spark: SparkSession, rows: list[tuple], schema: str, f, out: str) -> D
     return grid.repartition(min(len(rows), spark.sparkContext.defaultParallelism)).mapInPandas(run, out)
 
 
-_WIDE = """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS cnt, length(word) AS n FROM w GROUP BY word HAVING count(*) >= 2 AND length(word) BETWEEN 3 AND 255),
+_WIDE = """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents), c AS (SELECT word, count(*) AS cnt, length(word) AS n FROM w GROUP BY word HAVING count(*) >= 2 AND length(word) >= 3),
 a AS (SELECT word, cnt, n FROM c WHERE cnt * (n - 2) - (n + 1) > 0 ORDER BY cnt DESC, word LIMIT 254), z AS (SELECT min(cnt) AS cnt, max(word) FILTER (cnt = (SELECT min(cnt) FROM a)) AS word FROM a),
 b AS (SELECT c.word, c.cnt FROM c, z WHERE (SELECT count(*) FROM a) = 254 AND (c.cnt < z.cnt OR c.cnt = z.cnt AND c.word > z.word) AND c.cnt * (n - 3) - (n + 1) > 0)
 SELECT row_number() OVER (ORDER BY cnt DESC, word) AS id, word, cnt FROM (SELECT word, cnt FROM a UNION ALL SELECT word, cnt FROM b) QUALIFY id <= 65534"""
@@ -326,7 +326,7 @@ def vocab_wide(spark, d):
     kept before, but only up to the 254th: the first 254 by the short code, then all after the
     last of them by the long one."""
     n = F.length("word")
-    c = tx.word_counts(table(spark, d, "documents")).filter((F.col("cnt") >= 2) & n.between(3, 255))
+    c = tx.word_counts(table(spark, d, "documents")).filter((F.col("cnt") >= 2) & (n >= 3))
     order = [F.desc("cnt"), F.col("word")]
     first = c.filter(F.col("cnt") * (n - 2) - (n + 1) > 0).orderBy(*order).limit(254)
     rows = first.collect()  # at most 254

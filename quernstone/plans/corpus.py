@@ -28,7 +28,7 @@ def _query(sql: str | None = None):
 _VOCAB = """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents WHERE text IS NOT NULL),
 c AS (SELECT word, count(*) AS cnt FROM w GROUP BY word),
 v AS (SELECT row_number() OVER (ORDER BY cnt DESC, word) AS id, word, cnt, cnt * (length(word) - 2) - (length(word) + 1) AS gain FROM c
-WHERE length(word) >= 3 AND length(word) <= 255 AND cnt >= 2 AND cnt * (length(word) - 2) - (length(word) + 1) > 0 QUALIFY id <= 255)
+WHERE length(word) >= 3 AND cnt >= 2 AND cnt * (length(word) - 2) - (length(word) + 1) > 0 QUALIFY id <= 255)
 """
 
 
@@ -102,7 +102,7 @@ _RUNS = "SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS t, l FROM (
 SELECT t || ' ' || l[i + 2] FROM r WHERE regexp_matches(t, '^[A-Za-z]') AND l[i + 1] = ' ' AND i + 2 <= len(l)),
 c AS (SELECT phrase AS word, count(*) AS cnt FROM p GROUP BY phrase)
 SELECT row_number() OVER (ORDER BY cnt DESC, word) AS id, word, cnt, cnt * (length(word) - 2) - (length(word) + 1) AS gain FROM c
-WHERE length(word) BETWEEN 3 AND 255 AND cnt >= 2 AND cnt * (length(word) - 2) - (length(word) + 1) > 0 QUALIFY id <= 255""")
+WHERE length(word) >= 3 AND cnt >= 2 AND cnt * (length(word) - 2) - (length(word) + 1) > 0 QUALIFY id <= 255""")
 def phrase_counts(d):
     """The vocabulary of words and one-space pairs of words."""
     return vocab.vocabulary(tx.phrases(d).groupBy("phrase").agg(F.count("*").alias("cnt")).withColumnRenamed("phrase", "word"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.numbers import digits
@@ -95,9 +95,7 @@ def trial_wall_median(t):
 @_query("phase9_tune", _T + ", o AS (SELECT method, tune, archive_bytes, archive_bytes < coalesce(min(archive_bytes) OVER (PARTITION BY method, corpus ORDER BY log_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9223372036854775807) AS better FROM t) SELECT method, count(*) AS n, count(*) FILTER (better) AS improvements FROM o GROUP BY method")
 def trial_improvements(t):
     """Trials that improved on all before them with their method and corpus."""
-    w = Window.partitionBy("method", "corpus").orderBy("log_pos").rowsBetween(Window.unboundedPreceding, -1)
-    r = ex.trials(t).withColumn("better", F.col("archive_bytes") < F.coalesce(F.min("archive_bytes").over(w), F.lit((1 << 63) - 1)))
-    return r.groupBy("method").agg(F.count("*").alias("n"), F.count_if("better").alias("improvements"))
+    return ex.improvements(ex.trials(t)).groupBy("method").agg(F.count("*").alias("n"), F.count_if("better").alias("improvements"))
 
 
 _DELTA = """WITH g AS (SELECT log_pos, id, TRY_CAST(archive_bytes AS BIGINT) AS bytes, TRY_CAST(parent_archive_bytes AS BIGINT) AS parent_bytes FROM tune53 WHERE regexp_full_match(archive_bytes, '[0-9]+') AND regexp_full_match(parent_archive_bytes, '[0-9]+') AND bytes IS NOT NULL AND parent_bytes IS NOT NULL)

@@ -39,10 +39,14 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
 
 
-def first_receipts(receipts: DataFrame) -> DataFrame:
-    """The first receipt of each (id, archive_sha256) of an append-only log; replays drop out."""
-    r = receipts.withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).withWatermark("arrived_at", "36500 days")
-    return r.dropDuplicates(["id", "archive_sha256"])
+def first_receipts(receipts: DataFrame, within: str | None = None) -> DataFrame:
+    """The first receipt of each (id, archive_sha256) of an append-only log; replays drop out. A replay may
+    come at any time, so the state keeps one key per distinct receipt, and grows with them alone;
+    with `within`, keys are forgotten once the watermark has passed them by so much."""
+    if within is None:
+        return receipts.dropDuplicates(["id", "archive_sha256"])
+    r = receipts.withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).withWatermark("arrived_at", within)
+    return r.dropDuplicatesWithinWatermark(["id", "archive_sha256"])
 
 
 def best_per_method(receipts: DataFrame) -> DataFrame:
