@@ -46,7 +46,7 @@ def levels(t: DataFrame) -> DataFrame:
     """method, axis, level, n, total: trials and bytes of each level of both halves of the tune,
     over all trials; levels without trials have n 0."""
     half = F.explode(F.array(F.struct(F.lit("lr").alias("axis"), F.col("tune").bitwiseAND(15).alias("level")), F.struct(F.lit("scale").alias("axis"), F.shiftright("tune", 4).alias("level"))))
-    got = t.select("method", "archive_bytes", half.alias("h")).groupBy("method", "h.axis", "h.level").agg(F.count("*").alias("n"), F.sum("archive_bytes").alias("total"))
+    got = t.select("method", "archive_bytes", half.alias("h")).groupBy("method", "h.axis", "h.level").agg(F.count("*").alias("n"), F.try_sum("archive_bytes").alias("total"))
     every = t.select("method").distinct().select("method", F.explode(F.array(F.lit("lr"), F.lit("scale"))).alias("axis")).select("method", "axis", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("level"))
     return every.join(got, ["method", "axis", "level"], "left").select("method", "axis", "level", F.coalesce("n", F.lit(0)).alias("n"), "total")
 

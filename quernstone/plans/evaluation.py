@@ -165,8 +165,8 @@ def ratio_report(spark, d):
     a, program = F.col("a"), 125_056
     r = table(spark, d, "phase6_receipts").select("log_pos", digits(F.col("archive_bytes")).alias("a"), F.col("wall_seconds").try_cast("double").alias("w")).filter("a IS NOT NULL")
     return r.select(
-        "log_pos", (a + program).alias("self_extracting"), (a + 3 * program).alias("separate"), (a + 2 * program).alias("shared"), F.round(F.lit(1e9) / (a + program), 4).alias("ratio"),
-        F.round(F.lit(8.0) * (a + program) / 1e9, 4).alias("bits_per_byte"), ex.human_bytes(a).alias("size"), ex.clock(F.col("w")).alias("clock"),
+        "log_pos", *[F.try_add(a, F.lit(k * program)).alias(c) for k, c in ((1, "self_extracting"), (3, "separate"), (2, "shared"))], F.round(F.lit(1e9) / (a.cast("double") + program), 4).alias("ratio"),
+        F.round(F.lit(8.0) * (a.cast("double") + program) / 1e9, 4).alias("bits_per_byte"), ex.human_bytes(a).alias("size"), ex.clock(F.col("w")).alias("clock"),
     )
 
 

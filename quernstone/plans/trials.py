@@ -113,8 +113,8 @@ def score_forms(t):
     has 125,056 bytes."""
     program = 125_056
     n = F.get(F.split("id", "/"), F.lit(2))
-    r = t.select("log_pos", (digits(F.col("archive_bytes")) + program).alias("a"), digits(n).alias("n")).filter("a IS NOT NULL AND n IS NOT NULL")
-    return r.select("log_pos", F.col("a").alias("self_extracting"), (F.col("a") + 2 * program).alias("separate"), F.round(F.lit(8.0) * F.col("a") / F.col("n"), 6).alias("bits_per_byte"))
+    r = t.select("log_pos", F.try_add(digits(F.col("archive_bytes")), F.lit(program)).alias("a"), digits(n).alias("n")).filter("a IS NOT NULL AND n IS NOT NULL")
+    return r.select("log_pos", F.col("a").alias("self_extracting"), F.try_add(F.col("a"), F.lit(2 * program)).alias("separate"), F.round(F.lit(8.0) * F.col("a") / F.col("n"), 6).alias("bits_per_byte"))
 
 
 _CONF = """WITH i AS (SELECT DISTINCT split_part(id, '/', 3)::BIGINT AS n FROM phase6_receipts WHERE regexp_full_match(split_part(id, '/', 3), '[0-9]+')),

@@ -15,7 +15,8 @@ def lines(receipts: DataFrame, extras: Column | None = None) -> DataFrame:
     """One JSON object per receipt as `value`: the named fields in order, nulls as empty text, then
     the extras (a map) by name without those that have a named field's name. score_total is the sum
     of compressor_bytes and archive_bytes where both are numbers, else as given."""
-    total = F.col("compressor_bytes").try_cast("bigint") + F.col("archive_bytes").try_cast("bigint")
+    whole = lambda c: F.col(c).try_cast("bigint").cast("decimal(20,0)")
+    total = whole("compressor_bytes") + whole("archive_bytes")
     named = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS}
     named["score_total"] = F.coalesce(total.cast("string"), named["score_total"])
     own = F.create_map(*[x for c, v in named.items() for x in (F.lit(c), v)])

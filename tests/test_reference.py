@@ -29,7 +29,7 @@ def rows(names, data):
     return sorted((tuple(fix(r[k]) for k in order) for r in data), key=str)
 
 
-FAST = ["word_counts", "vocab_top255", "vocab_wide", "phrase_counts", "kind_stats", "token_partition", "order2_entropy", "rans_table", "page_order_full", "layout_info", "hoist_savings", "trial_observe", "trial_levels", "method_registry", "adaptive_bits", "squash_table", "session_counts", "stream_best"]
+FAST = ["word_counts", "vocab_top255", "vocab_wide", "phrase_counts", "kind_stats", "token_partition", "order2_entropy", "rans_table", "page_order_full", "layout_info", "hoist_savings", "trial_observe", "trial_levels", "method_registry", "adaptive_bits", "squash_table", "session_counts", "stream_best", "receipt_log", "run_against_parent", "vocab_gains", "vocab_overlap", "trial_extremes", "trial_global_best", "tune_rates", "logit_correction", "pinned_inputs", "runtime_floor", "ratio_report", "word_hashes", "size_literals", "trial_improvements", "trial_wall_median", "repeat_distance_k8", "column_above_agreement", "indirect_history", "line_offsets", "stream_hourly_final", "receipt_lines_out"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -40,8 +40,10 @@ def test_descendants_on_cycles(spark):
 
 
 def test_unified_has_every_field(spark):
-    fields = {k for r in same_as_sql(spark, "p3_unified") for k in r[-1]}
-    assert {"method", "tune", "corpus", "archive_bytes", "apm_rates", "parent"} <= fields
+    rows = same_as_sql(spark, "p3_unified")
+    columns = __spark_entry__.queries()["p3_unified"](spark, DATA).columns
+    assert {"method", "tune", "corpus", "archive_bytes", "apm_rates", "parent", "rest"} <= set(columns) and len(rows[0]) == len(columns)
+    assert same_as_sql(spark, "p3_steps")
 
 
 def test_ladder_of_large_rungs(spark):
