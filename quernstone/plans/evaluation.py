@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import hashing
+from quernstone.functions import codecs, hashing
 from quernstone.functions.numbers import digits
 from quernstone.operators import experiments as ex
 from quernstone.operators import seqstats, vocab
 from quernstone.operators import text as tx
 from quernstone.plans.coding import _PRICE, priced
-from quernstone.plans.corpus import _VOCAB
+from quernstone.plans.corpus import _HOIST, _VOCAB
 from quernstone.plans.trials import _T
-from quernstone.session import shared_dir
+from quernstone.session import per_text, shared_dir
 from quernstone.sources import logs
 from quernstone.sources.tables import table
 
@@ -193,6 +193,34 @@ def word_hashes(spark, d):
         return h.select("word", hashing.unsigned_text(F.col("f")).alias("fnv1a"), "context", hashing.unsigned_text(F.col("o")).alias("fold"), hashing.unsigned_text(hashing.splitmix64(F.col("f"))).alias("mixed"))
 
 
+def _signature_sql(words: str) -> str:
+    """Places by eight minima of mixed hashes of each document's words; the largest value where it has none."""
+    top = "18446744073709551615::UHUGEINT"
+    mixed = ", ".join(f"min({_split_mix(f'xor(f, {i * hashing.GOLDEN & (1 << 64) - 1}::UHUGEINT)')}) AS s{i}" for i in range(8))
+    order = ", ".join(f"coalesce(s{i}, {top})" for i in range(8))
+    return f"""WITH w AS ({words}), u AS (SELECT word, {_FNV} AS f FROM (SELECT word, [('0x' || x)::INT::UHUGEINT for x in regexp_extract_all(hex(encode(word)), '..')] AS b FROM (SELECT DISTINCT word FROM w))),
+m AS (SELECT doc_id, {mixed} FROM w JOIN u USING (word) GROUP BY doc_id) SELECT d.doc_id, row_number() OVER (ORDER BY {order}, d.doc_id) - 1 AS place FROM documents d LEFT JOIN m USING (doc_id) WHERE d.text IS NOT NULL"""
+
+
+_SQL["minhash_order"] = _signature_sql("SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents WHERE text IS NOT NULL")
+_SQL["boilerplate_order"] = _signature_sql(
+    r"SELECT DISTINCT doc_id, lower(word) AS word FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)\{\{([^|}\n]+)|\[\[((?:category|file|image):[^|\]\n]*)', 1), regexp_extract_all(text, '(?i)\{\{([^|}\n]+)|\[\[((?:category|file|image):[^|\]\n]*)', 2))) AS word FROM documents WHERE text IS NOT NULL) WHERE word != ''"
+)
+
+_CLASSED = "len(list_filter(w, lambda x: NOT regexp_full_match(x, '[a-z]+'))) + len(regexp_extract_all(text, '[\\x00-\\x03]'))"
+_STEMMED = "coalesce(list_sum([2 - length(CASE " + " ".join(f"WHEN length(x) >= {len(s) + 2} AND ends_with(x, '{s}') THEN '{s}'" for s in sorted(tx.SUFFIXES, key=lambda s: -len(s))) + " ELSE 'ab' END) for x in w]), 0) + len(regexp_extract_all(text, '[\\x00-\\x02]'))"
+
+
+@_query(f"""WITH t AS (SELECT text, strlen(text) AS n, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT n, n - (coalesce(list_sum([strlen(x) - 1 for x in regexp_extract_all(text, '({_HOIST})', 1)]), 0) - len(regexp_extract_all(text, '[\\x00-\\x1F\\x7F]'))) AS hoist, n + 256 AS permute, n + {_CLASSED} AS cased, n + {_STEMMED} AS stem FROM t)
+SELECT transform, sum(n)::BIGINT AS n_in, sum(n_out)::BIGINT AS n_out FROM (SELECT n, unnest(['hoist', 'permute', 'permute_random', 'case', 'case_mark', 'stem']) AS transform, unnest([hoist, permute, permute, cased, cased, stem]) AS n_out FROM s) GROUP BY transform""")
+def transform_sizes(spark, d):
+    """Bytes before and after the transforms of symbols and words, by coding every text."""
+    names = ["hoist", "permute", "permute_random", "case", "case_mark", "stem"]
+    r = per_text(table(spark, d, "documents"), lambda x: [(n, len(x), len(codecs.TRANSFORMS[n][0](x))) for n in names], "transform string, n_in bigint, n_out bigint")
+    return r.groupBy("transform").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+
+
 def queries() -> dict:
     return dict(_Q)
 
