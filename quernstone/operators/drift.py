@@ -101,8 +101,7 @@ def schema_changes(lines: DataFrame | Profile, *, id_field: str = "id", sha_fiel
     known = lines if isinstance(lines, Profile) else profile(lines, id_field=id_field, sha_field=sha_field)
     files, parts, fields = known.files, known.parts, known.fields
     # what there is by file is broadcast once counted; only the cells of records are shuffled
-    few = files.count() * 64 <= BROADCAST_ROWS
-    side = F.broadcast if few else lambda df: df
+    side = F.broadcast if files.count() <= BROADCAST_ROWS else lambda df: df  # for one row per file
     prints = fingerprints(fields)
     link = files.filter("next_file IS NOT NULL").select("log_file", "next_file")
     before = prints.select(F.col("log_file"), F.col("fingerprint").alias("_old"))
@@ -118,12 +117,12 @@ def schema_changes(lines: DataFrame | Profile, *, id_field: str = "id", sha_fiel
     wanted = both.filter("_had IS NULL OR _has IS NULL").groupBy("log_file").agg(F.collect_set(F.when(F.col("_has"), F.col("field"))).alias("_come"), F.collect_set(F.when(F.col("_had"), F.col("field"))).alias("_gone"))
     wanted = wanted.filter((F.size("_come") > 0) & (F.size("_gone") > 0))
 
-    renames = stage(_renames(parts, link, wanted, id_field, side))
+    renames = maybe_broadcast(stage(_renames(parts, link, wanted, id_field, side)))
     out = [
         kept,
         renames.select("log_file", F.lit("renamed").alias("change_kind"), "field", "new_field"),
-        gone.join(side(renames.select("log_file", "field")), ["log_file", "field"], "left_anti").select("log_file", F.lit("removed").alias("change_kind"), "field", F.lit("").alias("new_field")),
-        come.join(side(renames.select("log_file", F.col("new_field").alias("field"))), ["log_file", "field"], "left_anti").select("log_file", F.lit("added").alias("change_kind"), F.lit("").alias("field"), F.col("field").alias("new_field")),
+        gone.join(renames.select("log_file", "field"), ["log_file", "field"], "left_anti").select("log_file", F.lit("removed").alias("change_kind"), "field", F.lit("").alias("new_field")),
+        come.join(renames.select("log_file", F.col("new_field").alias("field")), ["log_file", "field"], "left_anti").select("log_file", F.lit("added").alias("change_kind"), F.lit("").alias("field"), F.col("field").alias("new_field")),
     ]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
@@ -146,7 +145,7 @@ def _renames(parts: DataFrame, link: DataFrame, wanted: DataFrame, id_field: str
         w = Window.partitionBy("log_file", "_n", "_s1", "_s2").orderBy("field")
         return s.withColumn("_rank", F.row_number().over(w)).withColumnRenamed("field", name)
 
-    return signed("old", "field").join(side(signed("new", "new_field")), ["log_file", "_n", "_s1", "_s2", "_rank"]).select("log_file", "field", "new_field")
+    return signed("old", "field").join(signed("new", "new_field"), ["log_file", "_n", "_s1", "_s2", "_rank"]).select("log_file", "field", "new_field")
 
 
 #: The JSON type that a column type takes without a cast.
