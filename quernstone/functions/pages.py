@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from quernstone.functions.codecs import read_varint, varint
 from quernstone.functions.hashing import GOLDEN, fnv1a_int, splitmix64_int
 
 _PAGE = re.compile(rb"[\s\S]*?</page>")
@@ -74,17 +75,19 @@ def order(pages: list[bytes], how: str) -> list[int]:
 
 
 def reorder(data: bytes, how: str) -> bytes | None:
-    """The stream with its pages in an order; None if that could not be undone."""
+    """The length of the header, and the stream with its pages in an order (what lies between two pages
+    goes with the second); None if that could not be undone."""
     parts = split(data)
     if parts is None:
         return None
-    out = parts[0] + b"".join(parts[1][i] for i in order(parts[1], how)) + parts[2]
+    out = varint(len(parts[0])) + parts[0] + b"".join(parts[1][i] for i in order(parts[1], how)) + parts[2]
     return out if restore(out) == data else None
 
 
 def restore(data: bytes) -> bytes:
-    """The pages sorted by their ids again."""
-    at = data.find(b"<page>")
-    pages = _PAGE.findall(data, at) if at >= 0 else []
+    """The stream with its pages sorted by their ids again."""
+    size, begin = read_varint(data, 0)
+    at = begin + size
+    pages = _PAGE.findall(data, at)
     back = sorted(pages, key=lambda p: int(m[1]) if (m := _ID.search(p)) else -1)
-    return data[: max(at, 0)] + b"".join(back) + data[max(at, 0) + sum(map(len, pages)) :]
+    return data[begin:at] + b"".join(back) + data[at + sum(map(len, pages)) :]
