@@ -9,6 +9,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -160,8 +161,11 @@ def wide_vocabulary(counts: Counter, top: int = 65_534) -> list[bytes]:
     return kept
 
 
+_LOW = re.compile(rb"[\x00-\x02]")
+
+
 def _escape(run: bytes) -> bytes:
-    return re.sub(rb"[\x00-\x02]", lambda m: b"\0" + m[0], run)
+    return _LOW.sub(lambda m: b"\0" + m[0], run) if _LOW.search(run) else run
 
 
 def _words_of(data: bytes) -> Counter:
@@ -210,7 +214,8 @@ def tokenize(data: bytes, vocab: list[bytes] | None = None, *, how: str = "stati
     """Vocabulary words as MARK and a rank; blocked words keep their ids but are not used."""
     vocab = vocabulary(_words_of(data)) if vocab is None else vocab
     vocab = vocab[::-1] if reverse else vocab
-    index = {w: k for k, w in enumerate(vocab) if w not in set(blocked)}
+    blocked = set(blocked)
+    index = {w: k for k, w in enumerate(vocab) if w not in blocked}
     ids, out = _Ids(len(vocab), how), [_header(vocab)]
     for run in _RUNS.findall(data):
         k = index.get(run)
@@ -324,6 +329,7 @@ def untokenize_front(data: bytes) -> bytes:
 _SUFFIX = sorted((s.encode() for s in SUFFIXES), key=lambda s: -len(s))
 
 
+@lru_cache(65_536)  # it changes speed only
 def _suffix(w: bytes) -> int | None:
     return next((k for k, s in enumerate(_SUFFIX) if len(w) >= len(s) + 2 and w.endswith(s)), None)
 
