@@ -132,6 +132,13 @@ def _receipts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "phase6_receipts").select("log_pos", F.concat_ws(" ", "id", "hypothesis", "parent", "corpus", "attribution", "decision", "notes").alias("text")))
 
 
+def _dealt(streams: DataFrame) -> DataFrame:
+    """The streams in parts of like size, a few for each core as the last part takes long, but not of less streams
+    than advance together well."""
+    parts = max(4 * streams.sparkSession.sparkContext.defaultParallelism, streams.rdd.getNumPartitions())
+    return streams.repartition(max(1, min(parts, streams.count() // 128)), "log_pos")
+
+
 def _coded(streams: DataFrame, f: Callable[[list, list[bytes]], list[tuple]], schema: str) -> DataFrame:
     """Rows f(keys, texts) of the texts (key, text), a bounded number of them at a time."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -200,19 +207,14 @@ def block_probe(spark, d):
 
 
 def _sizes(spark: SparkSession, d: str, configs: dict[str, coder.Config]) -> DataFrame:
-    """name and ideal bytes of all receipts by each configuration; the grid is spread over tasks."""
+    """name and ideal bytes of all receipts by each configuration; every task prices its receipts by all of them at once."""
+    once = list(dict.fromkeys(configs.values()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, rows in b.groupby("name"):
-                for at in range(0, len(rows), STREAMS):
-                    cost = coder.costs([t.encode() for t in rows["text"].iloc[at : at + STREAMS]], configs[name])
-                    yield pd.DataFrame([(name, float(sum(x.sum() for x in cost)))], columns=["name", "bits"])
-
-    grid = _receipts(spark, d).withColumn("name", F.explode(F.array(*[F.lit(n) for n in configs])))
-    parts = max(spark.sparkContext.defaultParallelism, grid.rdd.getNumPartitions())
-    grid = grid.repartition(parts, "name", F.pmod("log_pos", F.lit(8))).select("name", "text")
-    return grid.mapInPandas(run, "name string, bits double").groupBy("name").agg((F.sum("bits") / 8).alias("n_bytes"))
+    def run(keys: list, texts: list[bytes]) -> list[tuple]:
+        bits = dict(zip(once, coder.sweep(texts, once).sum(0).tolist(), strict=True))
+        return [(name, bits[c]) for name, c in configs.items()]
+
+    return _coded(_dealt(_receipts(spark, d)), run, "name string, bits double").groupBy("name").agg((F.sum("bits") / 8).alias("n_bytes"))
 
 
 @_query()

@@ -1,6 +1,8 @@
 import random
 import re
+from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from quernstone.functions import codecs, coder, markup, model, pages
@@ -142,3 +144,19 @@ def test_stretch_inverts_squash():
     assert all(coder.squash(model.STRETCH[p]) >= p for p in range(1, 4095))
     assert model.front_ranks("abba") == [-1, -1, 0, 1]
     assert sum(model.match_states(b"abcdefgh" * 20)) > 100 and model.ring_hits(b"abcdefgh" * 20) > 100
+
+
+def test_configurations_are_priced_together():
+    c = coder.for_method(model.ACCEPTED_METHOD)
+    configs = [c, replace(c, off="o3"), replace(c, word=False, pair=False), replace(c, mixer_rate=96), replace(c, shift=-1), replace(c, moved=(("o16", 2),))]
+    streams = [TEXT[:90], b"", TEXT[40:170], b"x", b"gates\n gates\n gates"]
+    got = coder.sweep(streams, configs)
+    assert got.shape == (5, 6) and len(set(got[0])) == 6 and not got[1].any()
+    for k, x in enumerate(configs):
+        assert np.allclose(got[:, k], [bits.sum() for bits in coder.costs(streams, x)], rtol=0, atol=1e-8)
+
+
+def test_other_configurations_are_priced_one_by_one():
+    configs = [coder.for_method(65), coder.for_method(54).tuned(51)]
+    got = coder.sweep([TEXT[:30]], configs)
+    assert got.shape == (1, 2) and got[0, 1] == coder.costs([TEXT[:30]], configs[1])[0].sum()
