@@ -7,6 +7,7 @@ import pytest
 
 from quernstone.functions import codecs, coder, markup, model, pages
 from quernstone.functions.registry import NAMES, ORDERS
+from quernstone.plans import coding
 
 TEXT = b"<page><title>The Nations</title> running runs The THE tHe station stations; &amp; [[link]] {{t}} http://x.y aaaa aaaa\x00\x01\x7f " * 6
 
@@ -160,3 +161,12 @@ def test_other_configurations_are_priced_one_by_one():
     configs = [coder.for_method(65), coder.for_method(54).tuned(51)]
     got = coder.sweep([TEXT[:30]], configs)
     assert got.shape == (1, 2) and got[0, 1] == coder.costs([TEXT[:30]], configs[1])[0].sum()
+
+
+def test_each_task_prices_its_streams_by_all_configurations_at_once(spark, monkeypatch):
+    c = coder.for_method(model.ACCEPTED_METHOD)
+    few = spark.createDataFrame([(k, f"gates of candidate {k}") for k in range(5)], "log_pos bigint, text string")
+    monkeypatch.setattr(coding, "_receipts", lambda *_: few)
+    got = {r.name: r.n_bytes for r in coding._sizes(spark, "", {"a": c, "b": replace(c, mixer_rate=64), "again": c}).collect()}
+    texts = [r.text.encode() for r in few.collect()]
+    assert got["a"] == got["again"] == pytest.approx(sum(x.sum() for x in coder.costs(texts, c)) / 8) != got["b"]
