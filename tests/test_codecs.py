@@ -170,3 +170,14 @@ def test_each_task_prices_its_streams_by_all_configurations_at_once(spark, monke
     got = {r.name: r.n_bytes for r in coding._sizes(spark, "", {"a": c, "b": replace(c, mixer_rate=64), "again": c}).collect()}
     texts = [r.text.encode() for r in few.collect()]
     assert got["a"] == got["again"] == pytest.approx(sum(x.sum() for x in coder.costs(texts, c)) / 8) != got["b"]
+
+
+def test_blocks_are_coded_with_shared_state(monkeypatch):
+    c, streams = coder.Config(), [TEXT[k : 2 * k + 9] for k in range(0, 60, 7)]
+    codes = coder.encode(streams, c)
+    with monkeypatch.context() as m:
+        m.setattr(coder, "Predictors", None)  # one state for each configuration isn't needed
+        m.setattr(coder, "SHARED_BATCH", 3)
+        assert coder.encode(streams, c) == codes and coder.decode(codes, [len(s) for s in streams], c) == streams
+    monkeypatch.setattr(coder, "_plain", lambda c: False)
+    assert coder.encode(streams, c) == codes
