@@ -181,3 +181,24 @@ def test_blocks_are_coded_with_shared_state(monkeypatch):
         assert coder.encode(streams, c) == codes and coder.decode(codes, [len(s) for s in streams], c) == streams
     monkeypatch.setattr(coder, "_plain", lambda c: False)
     assert coder.encode(streams, c) == codes
+
+
+
+def test_rate_sweep_combines_the_best_points(spark, monkeypatch):
+    base = coder.for_method(model.ACCEPTED_METHOD).tuned(model.ACCEPTED_TUNE)
+    texts = [f"opt-{k}/gate-{k} lowers the score of gate-{k - 1}" for k in range(3)]
+    monkeypatch.setattr(coding, "_receipts", lambda *_: spark.createDataFrame(list(enumerate(texts)), "log_pos bigint, text string"))
+    r = {x.setting: x for x in coding.rate_sweep(spark, "").collect()}
+    points = coding.rate_points(base)
+    assert set(r) == {*points, "best lr+shift", "best rates"} and {"shift-2", "shift+2", "o2=2", "o16=1", "o16=5"} <= set(r) and "o2=1" not in r
+    of = {n: c for n, c in points.items() if n == "base" or n[0] == "o"}
+    size = dict(zip(of, coder.sweep([t.encode() for t in texts], list(of.values())).sum(0) / 8, strict=True))
+    assert all(r[n].n_bytes == round(float(x), 1) for n, x in size.items())
+    picks = [min((n for n in size if n.startswith(f"o{o}=")), key=size.get) for o in base.orders]
+    picks = [n for n in picks if size[n] < size["base"] - 1e-6]
+    both = replace(base, moved=tuple(m for n in picks for m in points[n].moved))
+    together = sum(x.sum() for x in coder.costs([t.encode() for t in texts], both)) / 8 - size["base"]
+    gains = sum(size[n] - size["base"] for n in picks)
+    assert picks and r["best rates"].rates == ",".join(str(x) for _, x in both.experts())
+    assert (r["best rates"].change, r["best rates"].sum_of_gains, r["best rates"].interaction) == tuple(round(float(x), 1) for x in (together, gains, together - gains))
+    assert r["base"].change == 0 and r["best lr+shift"].interaction is not None and r["lr8"].n_bytes == r["base"].n_bytes
