@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions import codecs, coder, markup, model, udfs
+from quernstone.functions import codecs, coder, jvm, markup, model, udfs
 from quernstone.functions.registry import NAMES
 from quernstone.operators import experiments as ex
 from quernstone.operators import text as tx
@@ -209,14 +209,21 @@ def block_probe(spark, d):
 
 
 def _sizes(spark: SparkSession, d: str, configs: dict[str, coder.Config]) -> DataFrame:
-    """name and ideal bytes of all receipts by each configuration; every task prices its receipts by all of them at once."""
+    """name and ideal bytes of all receipts by each configuration; every task prices its receipts by all of them at once,
+    in the JVM, or in Python if they ask for more than is there."""
     once = list(dict.fromkeys(configs.values()))
+    streams = _dealt(_receipts(spark, d))
+    if jvm.covers(once):
+        priced = streams.select(jvm.swept(spark, F.col("text").cast("binary"), once).alias("bits"))
+        sums = priced.agg(F.count("*").alias("n"), *[F.sum(F.get("bits", F.lit(k))).alias(f"s{k}") for k in range(len(once))])
+        each = F.array(*[F.struct(F.lit(name).alias("name"), (F.col(f"s{once.index(c)}") / 8).alias("n_bytes")) for name, c in configs.items()])
+        return sums.filter("n > 0").select(F.inline(each))
 
     def run(keys: list, texts: list[bytes]) -> list[tuple]:
         bits = dict(zip(once, coder.sweep(texts, once).sum(0).tolist(), strict=True))
         return [(name, bits[c]) for name, c in configs.items()]
 
-    return _coded(_dealt(_receipts(spark, d)), run, "name string, bits double").groupBy("name").agg((F.sum("bits") / 8).alias("n_bytes"))
+    return _coded(streams, run, "name string, bits double").groupBy("name").agg((F.sum("bits") / 8).alias("n_bytes"))
 
 
 @_query()
