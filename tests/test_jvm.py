@@ -49,3 +49,12 @@ def test_the_points_of_rate_sweep_are_priced_in_the_jvm(spark, monkeypatch):
     assert _no_python(sizes) and {r.name for r in sizes.collect()} == set(points)
     monkeypatch.setattr(coding, "_receipts", lambda *_: few.limit(0))
     assert coding.rate_sweep(spark, "").collect() == []
+
+
+def test_tune_trials_are_priced_in_the_jvm(spark, monkeypatch):
+    texts = [f"opt-{k}/gate-{k} lowers the score of gate-{k - 1}" for k in range(3)]
+    monkeypatch.setattr(coding, "_receipts", lambda *_: spark.createDataFrame(list(enumerate(texts)), "log_pos bigint, text string"))
+    trials = coding.tune_trials(spark, "")
+    size = {r.tune: r.archive_bytes for r in trials.collect()}
+    bits = coder.sweep([t.encode() for t in texts], [BASE.tuned(t) for t in sorted(size)]).sum(0)
+    assert _no_python(trials) and [size[t] for t in sorted(size)] == np.ceil(bits / 8).tolist() and len(size) == 16
