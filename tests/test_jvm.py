@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import coder, jvm, model
+from quernstone.operators import experiments as ex
 from quernstone.plans import coding
 
 TEXT = b"<title>The Nations</title> running runs The THE\ntHe station stations;\n &amp; [[link]] {{t}} http://x.y aaaa aaaa\x00\x7f\xff " * 6
@@ -58,3 +59,16 @@ def test_tune_trials_are_priced_in_the_jvm(spark, monkeypatch):
     size = {r.tune: r.archive_bytes for r in trials.collect()}
     bits = coder.sweep([t.encode() for t in texts], [BASE.tuned(t) for t in sorted(size)]).sum(0)
     assert _no_python(trials) and [size[t] for t in sorted(size)] == np.ceil(bits / 8).tolist() and len(size) == 16
+
+
+def test_tunes_mix_side_by_side_with_the_same_numbers(spark):
+    """All tunes of tune_trials have the same experts: the mixers go over a stream once for each vector of tunes."""
+    tunes = [BASE.tuned(t) for t in ex.schedule("coord", set())]
+    mixed = [*tunes[:13], replace(BASE, off="o2"), *tunes[13:], *(replace(BASE, mixer_rate=r) for r in (1, 5, 255))]
+    rng = np.random.default_rng(7)
+    streams = [TEXT[:217], b"\x00" * 700, bytes(rng.integers(0, 256, 513, np.uint8)), b"ab" * 200 + bytes(rng.integers(97, 99, 800, np.uint8))]
+    rows = spark.createDataFrame([(k, bytearray(s)) for k, s in enumerate(streams)], "k int, data binary")
+    got = {r.k: r.bits for r in rows.select("k", jvm.swept(spark, F.col("data"), mixed).alias("bits")).collect()}
+    assert np.allclose([got[k] for k in range(len(streams))], coder.sweep(streams, mixed), rtol=0, atol=1e-8)
+    mixes = spark.sparkContext._jvm.quernstone.Sweep.mixes
+    assert mixes(jvm._spec(tunes)) <= 4 and mixes(jvm._spec(mixed)) <= 6 and mixes(jvm._spec([BASE, replace(BASE, off="o2")])) == 2
